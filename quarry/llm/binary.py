@@ -1,7 +1,7 @@
 """Operator 9: token ids in binary shards with a minimal perfect hash index for keyed access.
 
 A shard is one row of a Parquet table that Spark writes and reads, so any store it knows will do:
-    shard          order of the shard by document key
+    part, seq      the range and the place in it: order of the shard
     first, last    smallest and largest key
     n_tokens       ids in the shard
     keys           the keys in ascending order (<i8), nulls first as the smallest value
@@ -38,7 +38,7 @@ from quarry.llm.common import bounded_batches, texts
 SHARD_IDS = 2_000_000
 CACHE_WORDS = 300_000
 NULL_KEY = -(2**63)
-SCHEMA = "part int, first long, last long, n_tokens long, width int, keys binary, turns binary, ids binary, levels binary, level_bits binary, prints binary, offsets binary, lengths binary"
+SCHEMA = "part int, seq int, first long, last long, n_tokens long, width int, keys binary, turns binary, ids binary, levels binary, level_bits binary, prints binary, offsets binary, lengths binary"
 
 
 def mixed(keys: np.ndarray, turns: np.ndarray, seed: int) -> np.ndarray:
@@ -121,7 +121,7 @@ class Shard:
         return self.ids[offset[0] : offset[0] + length[0]] if there[0] else None
 
 
-def packed(part: int, keys: list[int], turns: list[int], payloads: list[bytes], width: int) -> dict:
+def packed(part: int, seq: int, keys: list[int], turns: list[int], payloads: list[bytes], width: int) -> dict:
     k, t = np.array(keys, np.int64), np.array(turns, np.uint32)
     lengths = np.array([len(p) // width for p in payloads], np.int64)
     offsets = np.cumsum(lengths) - lengths
@@ -134,7 +134,7 @@ def packed(part: int, keys: list[int], turns: list[int], payloads: list[bytes],
         return out.tobytes()
 
     return {
-        "part": part, "first": keys[0], "last": keys[-1], "n_tokens": int(lengths.sum()), "width": width,
+        "part": part, "seq": seq, "first": keys[0], "last": keys[-1], "n_tokens": int(lengths.sum()), "width": width,
         "keys": k.astype("<i8").tobytes(), "turns": t.astype("<u4").tobytes(), "ids": b"".join(payloads),
         "levels": b"".join(np.packbits(b, bitorder="little").tobytes() for b in ph.bits), "level_bits": np.array([len(b) for b in ph.bits], "<u4").tobytes(),
         "prints": ordered(prints_of(k, t)), "offsets": ordered(offsets), "lengths": ordered(lengths),
@@ -226,7 +226,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int
     bounded_batches(spark)
     order = F.coalesce(F.col("doc_id"), F.lit(NULL_KEY))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts(docs).select(order.alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = texts(docs).select(order.alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in SCHEMA.split(", ")])
@@ -239,15 +239,15 @@ def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int
         keys: list[int] = []
         turns: list[int] = []
         payloads: list[bytes] = []
-        held, last, turn = 0, None, 0
-        close = lambda: pa.RecordBatch.from_pylist([packed(part, keys, turns, payloads, enc.width)], schema=schema)
+        held, last, turn, seq = 0, None, 0, 0
+        close = lambda: pa.RecordBatch.from_pylist([packed(part, seq, keys, turns, payloads, enc.width)], schema=schema)
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist(), end)):
                 turn = turn + 1 if key == last else 0
                 last = key
                 if payloads and held + len(ids) // enc.width > shard_ids:
                     yield close()
-                    keys, turns, payloads, held = [], [], [], 0
+                    keys, turns, payloads, held, seq = [], [], [], 0, seq + 1
                 keys.append(key)
                 turns.append(turn)
                 payloads.append(ids)
@@ -267,10 +267,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of 32-bit little-endian ids)."""
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
     shards = spark.read.parquet(path)
-    order = Window.orderBy("first", "last", "part")  # one row a shard, not a document
-    base = shards.select("first", "last", "part", "n_tokens").withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens"))
-    base = F.broadcast(base.select("part", "first", "last", "n_tokens", "base")) if shards.count() <= 100_000 else base
-    joined = shards.join(base, ["part", "first", "last", "n_tokens"])
+    order = Window.orderBy("first", "last", "part", "seq")  # one row a shard, not a document
+    base = shards.select("first", "last", "part", "seq", "n_tokens").withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens"))
+    base = base.select("part", "seq", "base")
+    joined = shards.join(F.broadcast(base) if shards.count() <= 100_000 else base, ["part", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,3 +56,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def crc_mod(key, n: int):
     """crc32 of the key as text, modulo n. A null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def filtered(docs: DataFrame, scores, keep) -> DataFrame:
+    """Rows of docs, all columns, whose score keep() accepts; scores: list of texts to list of scores.
+
+    Rows pass through Arrow batches as they are, so nothing is joined back and no row is looked up.
+    """
+    import pyarrow as pa
+
+    at = docs.columns.index("text")
+
+    def run(batches):
+        score = scores()
+        for b in batches:
+            texts_ = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([bool(keep(p)) for p in score(texts_)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

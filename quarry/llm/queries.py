@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_folder, table
+from quarry.llm.common import crc_mod, shared_folder, table
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +36,90 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sentencepiece, op5_simhash, op9_token_files)}
-ORACLES: dict[str, str] = {}
+def op1_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lm import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    return score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import fit, toxicity
+
+    docs, held = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontaminate import contamination
+
+    got = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.licenses import license_scan
+
+    got = license_scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.sharding import assign
+
+    got = assign(table(spark, sf_dir, "documents"), 8)
+    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import fit, quality
+
+    docs, held = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2
+    vectors, network = fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality(docs, vectors, network).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OP4_SQL = r"""
+with d as (select doc_id, row_number() over () as rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bi as (select item_id, w, least(10, len(w)) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0),
+bw as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as k from bi),
+sizes as (select distinct n from bw),
+di as (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n),
+dw as (select rid, n, i, array_to_string(w[i : i + n - 1], ' ') as k from di),
+hit as (select distinct dw.rid, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.k = bw.k),
+words as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(i, i + n)) as p from hit) group by rid),
+items as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as listed from (select distinct rid, cast(item_id as varchar) as item_id from hit) group by rid)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(words.n_hit, 0) as n_hit, coalesce(items.n_items, 0) as n_items,
+  sha256(coalesce(items.listed, '')) as items_sha256, coalesce(words.n_hit, 0) > 0 as contaminated
+from d left join words on d.rid = words.rid left join items on d.rid = items.rid
+"""
+OP7_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_log_bilinear, op2_toxicity, op3_sentencepiece, op4_decontaminate, op5_simhash, op6_license_scan, op7_top_k, op8_ring_shards, op9_token_files, op10_quality, pipeline)
+}
+ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL}
