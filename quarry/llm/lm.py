@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, written
 
-UNITS, DIM, CONTEXT, HEAD = 512, 32, 5, 65_536
-BATCH, NOISE, RATE, HELD_WORDS = 4096, 64, 0.05, 400_000
+UNITS, DIM, CONTEXT, HEAD = 256, 32, 5, 65_536
+BATCH, STEP, NOISE, RATE, HELD_WORDS = 4096, 512, 64, 0.3, 400_000
 OTHER, END = 0, 1
 LOG10 = np.log(10.0)
 
@@ -206,8 +206,8 @@ def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, g, tokens = LogBilinear(start.share), np.random.default_rng(9), 0
         for ids, own in runs(batches, units):
-            for i in range(0, len(own), BATCH):
-                model.learn(ids[i : i + BATCH + CONTEXT], own[i : i + BATCH], g)
+            for i in range(0, len(own), STEP):
+                model.learn(ids[i : i + STEP + CONTEXT], own[i : i + STEP], g)
             tokens += int(own.sum())
         if tokens:
             flat = model.flat() * tokens

@@ -45,7 +45,7 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def segments(hits: list[tuple[int, float]], loss: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, stop, score), in linear time, of a sequence that is
+    """All maximal-scoring segments (start, one past the end, score), in linear time, of a sequence that is
     -loss everywhere but at hits (position, positive score). Each ends at a hit."""
     found: list[tuple[int, int, float, float]] = []  # start, stop, sum before, sum through
     total, after = 0.0, 0
@@ -59,7 +59,7 @@ def segments(hits: list[tuple[int, float]], loss: float) -> list[tuple[int, int,
             while j >= 0 and found[j][2] >= before:
                 j -= 1
             if j < 0 or found[j][3] >= total:
-                found.append((start, at, before, total))
+                found.append((start, at + 1, before, total))
                 break
             start, before = found[j][0], found[j][2]
             del found[j:]
