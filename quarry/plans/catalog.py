@@ -241,7 +241,7 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BM25} select query_id, rank, doc_id, round(score, 6) as score from ranked where rank <= 5")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.top_k(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir), 5).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return bm25.top_k(table(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir), 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
