@@ -86,20 +86,45 @@ def contains_phrase(tokens: Column, phrase: Sequence[str]) -> Column:
     return F.contains(inside, F.lit(" " + " ".join(phrase) + " "))
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _known(expansions: Mapping[str, Sequence[str]]) -> Column:
+    return F.create_map(*(x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+
+def _raw(text: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(text, HYPHENS, " "), F.lit("[A-Za-z0-9]+"), 0)
+
+
+def _phrases(lower: Column, expansions: Mapping[str, Sequence[str]]) -> list[Column]:
+    return [F.when(contains_phrase(lower, p), F.array(F.lit(a))).otherwise(_none()) for a, p in expansions.items()]
+
+
+def is_acronym(token: Column) -> Column:
+    return (F.length(token) > 1) & (token == F.upper(token)) & token.rlike("[A-Z]")
+
+
 def sparse_tokens(text: Column, expansions: Mapping[str, Sequence[str]] = EXPANSIONS) -> Column:
     """Lower-case ASCII tokens; an acronym also as written; a known one also as its phrase's words; and
     for each known phrase among the tokens its acronym, once, at the end."""
-    raw = F.regexp_extract_all(F.regexp_replace(text, HYPHENS, " "), F.lit("[A-Za-z0-9]+"), 0)
-    lower = F.transform(raw, F.lower)
+    raw = _raw(text)
 
     def grown(token: Column) -> Column:
         low = F.lower(token)
-        own = F.when((F.length(token) > 1) & (token == F.upper(token)) & token.rlike("[A-Z]"), F.array(token)).otherwise(F.array().cast("array<string>"))
-        words = F.array().cast("array<string>")
-        if expansions:
-            known = F.create_map(*(x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-            words = F.when(low.isin(*expansions), F.try_element_at(known, low)).otherwise(words)
+        own = F.when(is_acronym(token), F.array(token)).otherwise(_none())
+        words = F.when(low.isin(*expansions), F.try_element_at(_known(expansions), low)).otherwise(_none()) if expansions else _none()
         return F.concat(F.array(low), own, words)
 
-    found = [F.when(contains_phrase(lower, p), F.array(F.lit(a))).otherwise(F.array().cast("array<string>")) for a, p in expansions.items()]
-    return F.concat(F.flatten(F.transform(raw, grown)), *found)
+    return F.concat(F.flatten(F.transform(raw, grown)), *_phrases(F.transform(raw, F.lower), expansions))
+
+
+def sparse_bag(text: Column, expansions: Mapping[str, Sequence[str]] = EXPANSIONS) -> Column:
+    """The tokens of sparse_tokens in another order: counts are all that scoring needs, and only the few
+    acronyms are looked at one by one."""
+    lower = F.transform(_raw(text), F.lower)
+    parts = [lower, F.filter(_raw(text), is_acronym)]
+    if expansions:
+        parts.append(F.flatten(F.transform(F.filter(lower, lambda t: t.isin(*expansions)), lambda t: F.try_element_at(_known(expansions), t))))
+    return F.concat(*parts, *_phrases(lower, expansions))

@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import sparse_tokens
+from quarry.functions.text import sparse_bag
 from quarry.operators.layout import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = sparse_tokens) -> DataFrame:
+def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = sparse_bag) -> DataFrame:
     """doc_id, tokens of every document; only key and text are read."""
     return spread(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))).select("doc_id", tokens(F.col("text")).alias("tokens"))
 
@@ -44,13 +44,13 @@ def idf(frequency: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text", tokens: Callable[[Column], Column] = sparse_tokens) -> DataFrame:
+def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text", tokens: Callable[[Column], Column] = sparse_bag) -> DataFrame:
     """query_id, term, qtf."""
     return queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = sparse_tokens, kept: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score of every document that shares a term with the query.
+def contributions(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = sparse_bag, kept: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, part: what each term that a query shares with a document adds.
 
     Postings are made for the queries' terms only (the semi join stands before the aggregation), so
     what is shuffled follows the terms asked for. kept: tokenised(docs), if it is at hand.
@@ -62,17 +62,22 @@ def scores(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column], Colum
     terms = asked.select("term").distinct()
     some = own.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
     one = F.col("idf") * F.col("qtf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return some.join(weights, "term").crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("query_id", "doc_id").agg(F.sum(one).alias("score"))
+    return some.join(weights, "term").crossJoin(F.broadcast(stats.select("avgdl"))).select("query_id", "doc_id", one.alias("part"))
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 5, tokens: Callable[[Column], Column] = sparse_tokens, pad: bool = True, kept: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, doc_id, score; ties go to the smaller doc_id. With pad, queries with fewer than
-    k matches are filled up with the first documents, at score 0."""
-    found = scores(docs, queries, tokens, kept)
+def scores(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = sparse_bag, kept: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score of every document that shares a term with the query."""
+    return contributions(docs, queries, tokens, kept).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 5, tokens: Callable[[Column], Column] = sparse_bag, pad: bool = True, kept: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score; ties go to the smaller doc_id. With pad, queries with fewer than k
+    matches are filled up with the first documents, at score 0: those add nothing to every query, so no
+    query needs to be looked at twice."""
+    parts = contributions(docs, queries, tokens, kept)
     if pad:
         first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-        few = queries.select("query_id").join(found.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id")
-        filler = few.crossJoin(F.broadcast(first)).join(found, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))  # 2k rows a query
-        found = found.unionByName(filler)
+        parts = parts.unionByName(queries.select("query_id").distinct().crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0).alias("part")))  # 2k rows a query
+    found = parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

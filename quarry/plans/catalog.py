@@ -214,7 +214,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id, cast(len(w) as integer) as n_tokens, sha256(array_to_string(w, ' ')) as tokens_sha256 from (select doc_id, {_tokens_sql('text')} as w from documents)")
 def bm25_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = bm25.tokenised(table(spark, sf_dir, "documents"))
+    own = bm25.tokenised(table(spark, sf_dir, "documents"), tokens=T.sparse_tokens)
     return own.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " ").cast("binary"), 256).alias("tokens_sha256"))
 
 
