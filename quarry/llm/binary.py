@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded_batches, texts
 
 SHARD_IDS = 2_000_000
-CACHE_WORDS = 300_000
+CACHE_PARTS = 1_000_000
 NULL_KEY = -(2**63)
 SCHEMA = "part int, seq int, first long, last long, n_tokens long, width int, keys binary, turns binary, ids binary, levels binary, level_bits binary, prints binary, offsets binary, lengths binary"
 
@@ -142,14 +143,15 @@ def packed(part: int, seq: int, keys: list[int], turns: list[int], payloads: lis
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each word once while it is remembered.
+    """Ids of whole texts by the tokenizers library, which sees each part once while it is remembered.
 
     White space only separates, so the ids of a text are those of its words in order. A word of plain
-    letters followed by plain punctuation splits there too, as the library's own pattern does.
+    letters followed by plain punctuation is two parts, as in the library's own pattern; any other
+    word is one. A-Z are lower-cased first, as the library would.
     """
 
-    WORD = re.compile(r"[^ \t\n\r]+")
-    SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+    LETTERS, SIGNS, WHITE = r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]", r"[ \t\n\r]"
+    PARTS = re.compile(rf"{LETTERS}+(?={SIGNS}*(?:{WHITE}|\Z))|{SIGNS}+(?={WHITE}|\Z)|[^ \t\n\r]+")
 
     def __init__(self, path: str):
         import os
@@ -159,55 +161,34 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        size = self.lib.get_vocab_size()
-        self.width = 2 if size <= 1 << 16 else 4
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        new, split = [], {}
-        for w in words:
-            m = self.SPLIT.fullmatch(w)
-            pair = split[w] = m.groups() if m else (w,)
-            new += [p for p in pair if p not in self.parts]
-        new = list(dict.fromkeys(new))
+        self.width, self.code = (2, "H") if self.lib.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, parts: set[str]) -> None:
+        """Remembers the ids of all these parts; forgets the rest when there would be too many."""
+        if len(self.known) + len(parts) > CACHE_PARTS:
+            keep = parts & self.known.keys()
+            self.known = {p: self.known[p] for p in keep}
+        new = list(parts - self.known.keys())
         for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[p] = np.array(e.ids, f"<u{self.width}").tobytes()
-        for w, pair in split.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, pair))
-
-    def encode(self, all_texts: list[str], end: bytes) -> list[bytes]:
-        lists = list(map(self.WORD.findall, all_texts))
-        missing: set[str] = set()
-        for words in lists:
-            missing.update(words)
-            if len(missing) > CACHE_WORDS:
-                return self.apart(all_texts, end)
-        absent = missing - self.words.keys()
-        if absent:
-            if len(self.words) + len(absent) > CACHE_WORDS:
-                absent = missing
-            self.learn(absent)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) + end for words in lists]
-
-    def apart(self, all_texts: list[str], end: bytes) -> list[bytes]:
-        """More different words than are remembered: text by text, and long texts in slices of words."""
+            self.known[p] = array(self.code, e.ids).tobytes()
+
+    def encode(self, texts_: list[str], end: bytes) -> list[bytes]:
+        """Payloads of the texts. At most CACHE_PARTS different parts are held, however long a text is."""
+        lists = [self.PARTS.findall(t.encode().lower().decode()) for t in texts_]
+        met = set().union(*lists)
+        if len(met) <= CACHE_PARTS:
+            self.learn(met)
+            get = self.known.__getitem__
+            return [b"".join(map(get, parts)) + end for parts in lists]
         out = []
-        for t in all_texts:
-            words, got = self.WORD.findall(t), []
-            for i in range(0, len(words), CACHE_WORDS // 2):
-                piece = words[i : i + CACHE_WORDS // 2]
-                absent = set(piece) - self.words.keys()
-                if len(self.words) + len(absent) > CACHE_WORDS:
-                    absent = set(piece)
-                self.learn(absent)
-                got.append(b"".join(map(self.words.__getitem__, piece)))
-            out.append(b"".join(got) + end)
+        for parts in lists:
+            runs = []
+            for i in range(0, len(parts), CACHE_PARTS):
+                some = parts[i : i + CACHE_PARTS]
+                self.learn(set(some))
+                runs.append(b"".join(map(self.known.__getitem__, some)))
+            out.append(b"".join(runs) + end)
         return out
 
 

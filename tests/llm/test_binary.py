@@ -28,7 +28,7 @@ def test_words(text):
 def test_more_words_than_remembered(monkeypatch):
     import quarry.llm.binary as m
 
-    monkeypatch.setattr(m, "CACHE_WORDS", 8)
+    monkeypatch.setattr(m, "CACHE_PARTS", 8)
     own = WordEncoder(PATH)
     all_texts = [" ".join(f"w{i}" for i in range(50)), "a b c", " ".join(f"x{i}." for i in range(9))]
     assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(all_texts, b"\2\0")] == [ids_of(t) for t in all_texts]
