@@ -167,9 +167,9 @@ class WordEncoder:
     def learn(self, parts: set[str]) -> None:
         """Remembers the ids of all these parts; forgets the rest when there would be too many."""
         if len(self.known) + len(parts) > CACHE_PARTS:
-            keep = parts & self.known.keys()
+            keep = [p for p in parts if p in self.known]
             self.known = {p: self.known[p] for p in keep}
-        new = list(parts - self.known.keys())
+        new = list(parts.difference(self.known))
         for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
             self.known[p] = array(self.code, e.ids).tobytes()
 

@@ -70,7 +70,7 @@ class Units:
         words, known = text.split(), self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = self.code(w)
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         same = np.zeros(len(words), bool)
