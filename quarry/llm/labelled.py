@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from quarry.llm.common import texts
 
 
+LOTS = 1_000_000_007
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(text, label, doc_id) of up to per_class documents of each label, and how many each label has in all.
 
-    trained tells from doc_id which rows may be learned from. The choice is by a hash of the
-    key, so it is the same every time and spread over all rows. Keys with differing labels take the
+    trained tells from doc_id which rows may be learned from. A key is chosen if its hash is under a
+    cut that gives just under per_class of them: the same ones every time, spread over all rows, and
+    no task sends the driver more than its share. Keys with differing labels take the
     larger one; null labels and keys don't count. At most 2 * per_class keys are broadcast.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & trained).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    keys = [(r["doc_id"], r["label"]) for c in chosen for r in c.collect()]
+    chosen = []
+    for k, n in totals.items():
+        cut = LOTS if n <= per_class else int(LOTS * (per_class - 5 * per_class**0.5) / n)  # five deviations under the bound
+        own = known.where((F.col("label") == k) & (F.pmod(F.xxhash64("doc_id"), LOTS) < cut))
+        chosen += own.limit(per_class).collect()
+    keys = [(r["doc_id"], r["label"]) for r in chosen]
     bounded = F.broadcast(docs.sparkSession.createDataFrame(keys, "doc_id long, label int"))
     return texts(docs).join(bounded, "doc_id").select("text", "label", "doc_id"), totals
 
