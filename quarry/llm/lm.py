@@ -11,8 +11,8 @@ frequencies, with the scores taken as if normalised. Every partition of the trai
 copy from the same start and over all its tokens; copies are averaged by their tokens. Scoring
 normalises exactly: batches of contexts times all output vectors.
 
-Word counts are those of all training rows. The HEAD most frequent words are known to every task (a
-bounded table); how often the other words of a text occur is joined, so counts are exact for any
+Word counts are those of all training rows. The most frequent words, HEAD at most (whole bands of like
+frequency), are known to every task; how often the other words of a text occur is joined, so counts are exact for any
 vocabulary.
 
 Defined results: null and empty texts are the end alone; without training rows N and V are 0, the base
@@ -172,7 +172,14 @@ def vocabulary(counts: DataFrame, rows: int) -> Vocabulary:
     """From the word counts and the number of training texts (each has an end)."""
     whole = counts.agg(F.sum("c"), F.count("*")).first()
     total, different = int(whole[0] or 0) + rows, int(whole[1]) + (rows > 0)
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # the head's documented bound
+    band = F.floor(F.log("c") * 20)  # some hundred bands whatever the counts
+    cut, room = None, HEAD
+    for r in sorted(counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.band):
+        room -= r.n
+        if room < 0:
+            break
+        cut = r.band
+    head = sorted(counts.where(band >= cut).collect(), key=lambda r: (-r.c, r.word)) if cut is not None else []  # HEAD words at most
     named = head[: UNITS - 2]
     units = {r.word.encode(): i + 2 for i, r in enumerate(named)}
     rest = total - rows - sum(r.c for r in named)
