@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    own = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, own, True)
+    folder = f"file://{own}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
