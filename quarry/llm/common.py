@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts may be long, so batches stay small enough for a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts may be long, so batches stay small enough for a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,11 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size of the session unless it is lower already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the size of the session's Arrow batches, in rows and bytes, unless they are smaller already."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{name}", "0"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
