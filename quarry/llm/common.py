@@ -27,7 +27,7 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the size of the session's Arrow batches, in rows and bytes, unless they are smaller already."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(f"spark.sql.execution.arrow.{name}", "0"))
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{name}", None))
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 

@@ -15,6 +15,7 @@ the empty text; repeated rows each give a row; extra columns are ignored; an emp
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import re
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import bounded_batches, texts
 
 SPACE = "▁"
+#: Every byte that is no UTF-8 becomes a replacement character of its own.
+codecs.register_error("quarry-bytewise", lambda e: ("\ufffd", e.start + 1))
 CACHE_UNITS, CACHE_PAIRS, LONGEST_CACHED = 300_000, 2_000_000, 64
 
 
@@ -196,7 +199,7 @@ class PrefixTableEncoder:
             raw.decode()
             return raw
         except UnicodeDecodeError:
-            return raw.decode(errors="replace").encode()
+            return raw.decode(errors="quarry-bytewise").encode()
 
 
 @functools.lru_cache(maxsize=2)

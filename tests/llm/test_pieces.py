@@ -37,6 +37,11 @@ def test_decoding_any_ids(ids):
     assert OWN.decode(ids) == LIB.decode(ids).encode()
 
 
+def test_decoding_stray_bytes():
+    for ids in ([228, 131], [3 + 0xF0, 3 + 0x9F, 3 + 0x98, 22557], [3 + 0xC3, 3 + 0xA9, 3 + 0xC3]):
+        assert OWN.decode(ids) == LIB.decode(ids).encode()
+
+
 def test_frames(spark):
     rows = [(1, "Hello world", "x"), (1, "Hello world", "y"), (2, None, None), (None, "", "z"), (3, "word " * 20000, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
