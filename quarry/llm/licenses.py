@@ -2,10 +2,11 @@
 
 Every rolling word k-gram of a text that some template has is joined to the template's positions of
 it; (position in the text - position in the template) is the diagonal, and each match votes for its
-own. A phrase stands where its diagonal has all its votes: that is exact. For the longer notices,
-diagonals close to each other are merged (a changed, missing or added word shifts the rest by a
-little), and the merged span is verified: it must not be much longer than the template, and its
-votes are distinct template positions, whose share is the score.
+own. A phrase stands where its diagonal has all its votes: that is exact. A notice stands where a
+single diagonal has the share of votes that is asked for. Besides, diagonals close to each other are
+merged (a changed, missing or added word shifts the rest by a little): of them, parts whose template
+ranges do not overlap are taken, the heaviest first or in template order, whichever gives more, as long
+as the span is not much longer than the template; their share of the template is the score.
 
 Defined results: a null text counts as empty: no words, no places, empty labels, score 0; repeated
 rows each give a row; extra columns are ignored; an empty table gives none.
@@ -68,9 +69,18 @@ def license_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("rid", "tid").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEAR).cast("int"), F.lit(1))
     bands = diagonals.where("kind = 'notice'").withColumn("band", apart).withColumn("band", F.sum("band").over(order))
-    by_place = F.expr("aggregate(array_sort(parts), named_struct('end', -1, 'n', 0L), (s, x) -> if(x.t_first > s.end, named_struct('end', x.t_last, 'n', s.n + x.votes), s)).n")
-    merged = bands.groupBy("rid", "tid", "kind", "label", "length", "band").agg(F.collect_list(F.struct("t_first", "t_last", "votes")).alias("parts"), F.min("first").alias("start"), (F.max("last") + GRAM - 1).alias("stop"))
-    notices = merged.withColumn("score", by_place / need).where(F.col("score") >= SHARE).where(F.col("stop") - F.col("start") + 1 <= F.col("length") * 1.5 + NEAR)
+    whole = diagonals.where("kind = 'notice'").where(F.col("votes") / need >= SHARE).select("rid", "kind", "label", F.col("first").alias("start"), (F.col("last") + GRAM - 1).alias("stop"), (F.col("votes") / need).alias("score"))
+    part = F.struct("votes", "t_first", "t_last", "first", (F.col("last") + GRAM - 1).alias("stop"))
+    merged = bands.groupBy("rid", "tid", "kind", "label", "length", "band").agg(F.collect_list(part).alias("parts")).where(F.size("parts") > 1)
+    fits = f"not exists(s.taken, c -> x.t_first <= c.b and x.t_last >= c.a) and greatest(s.stop, x.stop) - least(s.start, x.first) + 1 <= length * 1.5 + {NEAR}"
+    none = "named_struct('n', 0L, 'start', parts[0].first * 0 + 2147483647, 'stop', parts[0].stop * 0 - 1, 'taken', cast(array() as array<struct<a:int,b:int>>))"
+    more = "named_struct('n', s.n + x.votes, 'start', least(s.start, x.first), 'stop', greatest(s.stop, x.stop), 'taken', concat(s.taken, array(named_struct('a', x.t_first, 'b', x.t_last))))"
+    first_fit = "if(size(s.taken) = 0, true, " + fits + ")"
+    fold = f"aggregate(array_sort(parts, (l, r) -> {{order}}), {none}, (s, x) -> if({first_fit}, {more}, s))"
+    ways = [fold.format(order=o) for o in ("case when l.votes <> r.votes then cast(sign(r.votes - l.votes) as int) else cast(sign(l.t_first - r.t_first) as int) end", "cast(sign(l.t_first - r.t_first) as int)")]
+    best = merged.withColumn("best", F.expr("array_max(array(" + ", ".join(ways) + "))"))
+    joined = best.withColumn("score", F.col("best.n") / need).where(F.col("score") >= SHARE).where("size(best.taken) > 1")
+    notices = whole.unionByName(joined.select("rid", "kind", "label", F.col("best.start").alias("start"), F.col("best.stop").alias("stop"), "score"))
     return rows, phrases.unionByName(notices.select("rid", "kind", "label", "start", "stop", F.least("score", F.lit(1.0)).alias("score")))
 
 
