@@ -127,7 +127,9 @@ def hex_of(fp):
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The documents with the smallest key of each component, each key once."""
-    parts = simhash_components(docs, words, max_bits)
-    kept = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: the smallest key, null keys last, then by row."""
+    numbered = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "simhash-docs")
+    parts = simhash_components(numbered.select(F.col("_rid").alias("doc_id"), "text"), words, max_bits).select(F.col("doc_id").alias("_rid"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("best")
+    kept = numbered.select("_rid", "doc_id").join(parts, "_rid").groupBy("component_id").agg(best).select("best._rid")
+    return numbered.join(written(kept, "simhash-kept"), "_rid", "left_semi").select(*docs.columns)
