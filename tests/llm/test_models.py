@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.llm import lm
+from quarry.llm.bytewords import split, word_ids
 from quarry.llm.common import crc_mod
 from quarry.llm.quality import fit as fit_quality
 from quarry.llm.quality import quality, shape
@@ -100,11 +101,11 @@ def test_language_model(spark):
     counts = Counter()
     for r in rows:
         if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2:
-            counts.update(lm.split(r.text) + ["end"])
+            counts.update(split(r.text) + ["end"])
     n, v = sum(counts.values()), len(counts)
     want = {}
     for r in rows:
-        tokens = lm.split(r.text) + ["end"]
+        tokens = split(r.text) + ["end"]
         base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)
         want.setdefault((r.doc_id, len(tokens)), (sum(counts[t] > 0 for t in tokens), base))
     for r in got:
@@ -118,14 +119,72 @@ def test_language_model(spark):
 
 def test_language_model_is_normalised_and_learns():
     g = np.random.default_rng(8)
-    ids = np.where(np.arange(12000) % 2 == 0, g.integers(2, 10, 12000), 1)
-    share = np.bincount(ids, minlength=12) + 1.0
-    model = lm.LogBilinear(share / share.sum())
-    own = np.ones(len(ids) - lm.CONTEXT, bool)
+    ids = np.where(np.arange(12000) % 2 == 0, g.integers(2, 90, 12000), 1).astype(np.int32)
+    model = lm.LogBilinear(np.bincount(ids, minlength=90) + 1.0, 5)
+    own = np.ones(len(ids) - lm.CONTEXT, np.float32)
+    model.begin()
     before = model.log_probabilities(ids).mean()
-    for i in range(0, len(own), lm.STEP):
-        model.learn(ids[i : i + lm.STEP + lm.CONTEXT], own[i : i + lm.STEP], g)
+    for i in range(0, len(own), 512):
+        model.learn(ids[i : i + 512 + lm.CONTEXT], own[i : i + 512], g)
     assert model.log_probabilities(ids).mean() > before + 0.3
     some = ids[:40]
-    total = sum(np.exp(model.log_probabilities(np.r_[some, w])[-1]) for w in range(12))
-    assert abs(total - 1) < 1e-4
+    assert abs(sum(np.exp(model.log_probabilities(np.r_[some, w].astype(np.int32))[-1]) for w in range(125)) - 1) < 1e-4
+    # a slow version, leaf by leaf
+    for at in range(lm.CONTEXT, 40):
+        h = sum(model.c[j].astype(float) * model.r[some[at - 1 - j]] for j in range(lm.CONTEXT))
+        h[-1], want = 1, 0.0
+        for level in (0, 1, 2):
+            child = some[at] // 5 ** (2 - level)
+            scores = model.q[level][child // 5 * 5 : child // 5 * 5 + 5].astype(float) @ h
+            want += scores[child % 5] - np.log(np.exp(scores).sum())
+        assert abs(model.log_probabilities(some)[at - lm.CONTEXT] - want) < 1e-4
+
+
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP", 20_000)
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.score for r in lm.score(docs.repartition(n), crc_mod(F.col("doc_id"), 7) != 2).collect()} for n in (1, 8))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) <= 1e-6 * max(1, abs(one[k])) for k in one)
+
+
+def test_vocabulary_is_proper(spark, monkeypatch):
+    """Head words by whole bands, then by hash; every word's place adds up to one, the unseen one of each shared leaf included."""
+    monkeypatch.setattr(lm, "HEAD", 100)
+    counts = spark.createDataFrame([(f"w{i}", 1 + 50 // (i + 1)) for i in range(600)], "word string, c long")
+    v = lm.vocabulary(counts, 10)
+    assert 40 <= len(v.words) <= 100 and v.tails == lm.TAILS and (v.total, v.different) == (10 + sum(1 + 50 // (i + 1) for i in range(600)), 601)
+    inside = sum(10 ** v.logs[k] for k in v.words.values()) + 11
+    shared = sum(2 + 50 // (i + 1) for i in range(600) if f"w{i}".encode() not in v.words) + lm.TAILS
+    assert math.isclose(inside + shared, v.weight.sum(), rel_tol=1e-9) and min(1 + 50 // (int(w[1:]) + 1) for w in v.words) >= 1
+
+
+def test_word_ids(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from quarry.llm import bytewords
+
+    r = random.Random(1)
+    texts = ["", "  ", " a", "b ", "A\x00b a\x00", "a\x85b\xa0c É\x1cx"] + ["".join(r.choice("aAb \t\n\x0b\x1c é") for _ in range(r.randrange(9))) for _ in range(2000)]
+    for piece in (bytewords.PIECE, 50):
+        monkeypatch.setattr(bytewords, "PIECE", piece)
+        bytewords.tables.cache_clear()
+        got = []
+        for sizes, ids, words in word_ids(pa.array(["first", *texts]).slice(1)):
+            at = 0
+            for n in sizes.tolist():
+                got.append([words[i] for i in ids[at : at + n].tolist()])
+                at += n
+        assert got == [split(t) for t in texts]
+    bytewords.tables.cache_clear()
+
+
+def test_summed():
+    r = np.random.default_rng(0)
+    for _ in range(100):
+        n = int(r.integers(1, 200))
+        edge = np.unique(np.r_[0, r.integers(0, n, r.integers(0, 60))])
+        x = r.normal(size=(n, 3)).astype(np.float32)
+        assert np.allclose(lm.summed(x, edge, np.diff(np.r_[edge, n])), np.add.reduceat(x, edge, axis=0), atol=1e-4)
