@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -19,3 +21,9 @@ class Config:
     user_agent: str = "quarry"
     scope_paths: tuple[str, ...] = ("/buying-a-flat/", "/selling-a-flat/", "/managing-my-home/")
     embedding_dim: int = 256
+
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str] = os.environ) -> Config:
+        """Defaults, or what QUARRY_<NAME> says; lists are separated by commas."""
+        kinds = {"int": int, "float": float, "str": str, "tuple[str, ...]": lambda v: tuple(x for x in v.split(",") if x)}
+        return cls(**{f.name: kinds[f.type](env[name]) for f in fields(cls) if (name := f"QUARRY_{f.name.upper()}") in env})

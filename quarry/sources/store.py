@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import exists
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -49,6 +51,9 @@ class VectorStore:
             raise ValueError(f"unknown vector store {backend}; there are {', '.join(BACKENDS)}")
         self.spark, self.path, self.backend = spark, path, backend
 
+    def exists(self) -> bool:
+        return exists(self.spark, self.path)
+
     def reset(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").format(self.backend).save(self.path)
 

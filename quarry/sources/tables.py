@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,16 @@ METADATA = (
 )
 RESULT = (
     "id int, question string, category string, expected_behavior string, answer string, sources array<struct<url:string,title:string,category:string,doc_type:string>>, "
-    "retrieval_pass boolean, faithfulness_pass boolean, relevance_pass boolean, citation_pass boolean, refusal_pass boolean, retrieval_diagnostics string"
+    "retrieval_pass boolean, faithfulness_pass boolean, relevance_pass boolean, citation_pass boolean, refusal_pass boolean, retrieval_diagnostics string, mode string"
 )
+#: When a result was appended, and its place there: what orders saved results.
+LINE = "struct<saved_at:long,place:long>"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, asked of its own store; errors of the store rise."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def _yaml(spark: SparkSession, path: str) -> dict:
@@ -59,28 +69,28 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def read_chunks(spark: SparkSession, path: str, metadata: str = METADATA) -> DataFrame:
     """Chunks of a cache; a broken record, or one without page_content, is an error. Missing metadata is empty."""
-    try:
-        raw = spark.read.schema(f"metadata struct<{_nested(metadata)}>, page_content string, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    except Exception as e:
-        raise FileNotFoundError(f"no chunk cache at {path}: run ingest first") from e
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no chunk cache at {path}: run ingest first")
+    raw = spark.read.schema(f"metadata struct<{_nested(metadata)}>, page_content string, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
     bad = F.col("_broken").isNotNull() | F.col("page_content").isNull()
     checked = F.when(bad, F.raise_error(F.concat(F.lit("invalid chunk record: "), F.coalesce("_broken", F.lit("page_content is missing"))))).otherwise(F.col("page_content"))
     return raw.select("metadata.*", checked.alias("page_content"))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Saved results with a line_no that orders them; torn lines are skipped, a missing file has none."""
-    try:
-        raw = spark.read.text(path)
-    except Exception:
-        return spark.createDataFrame([], RESULT + ", line_no long")
-    row = raw.select(F.monotonically_increasing_id().alias("line_no"), F.from_json("value", RESULT).alias("r"))
-    return row.where("r.id is not null").select("r.*", "line_no")
+    """Saved results with a line_no that orders them as they were appended; torn lines are skipped, a missing file has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{RESULT}, line_no {LINE}")
+    row = spark.read.text(path).select(F.from_json("value", f"{RESULT}, saved_at long, place long").alias("r"))
+    return row.where("r.id is not null").select("r.*").withColumn("line_no", F.struct(F.coalesce("saved_at", F.lit(0)).alias("saved_at"), F.coalesce("place", F.lit(0)).alias("place"))).drop("saved_at", "place")
 
 
-def append_results(results: DataFrame, path: str) -> None:
+def append_results(results: DataFrame, path: str, mode: str | None = None) -> None:
+    """Append records, with the mode where results have none of their own."""
     keys = [c.split(" ")[0] for c in RESULT.replace("struct<url:string,title:string,category:string,doc_type:string>", "x").split(", ")]
-    results.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+    full = results if "mode" in results.columns else results.withColumn("mode", F.lit(mode).cast("string"))
+    order = [F.lit(time.time_ns()).alias("saved_at"), F.monotonically_increasing_id().alias("place")]
+    full.select(F.to_json(F.struct(*keys, *order), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
 def write_marker(spark: SparkSession, when: str, path: str) -> None:

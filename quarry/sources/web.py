@@ -147,8 +147,64 @@ def staged_name(url: str) -> str:
     return hashlib.sha256(url.encode()).hexdigest()[:16] + "-" + (base if base.lower().endswith(".pdf") else base + ".pdf")
 
 
+def pdf_fetcher(agent: str, timeout: float = 60.0) -> Callable[[str], bytes]:
+    """The bytes of a file, with the standard library."""
+
+    def fetch(url: str) -> bytes:
+        from urllib.request import Request, urlopen
+
+        with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+            return r.read()
+
+    return fetch
+
+
+def pdf_documents(sources: DataFrame, fetch: Fetcher, download: Callable[[str], bytes], agent: str, when: str, delay: float = 1.0, pages_of: Callable[[bytes], list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, one for each page with text; url and error of sources that failed or are denied) of PDF sources.
+
+    Files are read as they come and never staged, so executors need no folder in common. fetch serves robots rules.
+    """
+    extract = pages_of or _pypdf_pages
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate = Politeness(fetch, agent, delay)
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                try:
+                    if not gate.allowed(r.url):
+                        raise PermissionError("denied by robots rules")
+                    gate.wait()
+                    pages = [(n, t.strip()) for n, t in enumerate(extract(download(r.url)), 1) if t and t.strip()]
+                    rows += [(t, r.url, r.title, r.category, n, None) for n, t in pages]
+                except Exception as e:
+                    rows.append((None, r.url, r.title, r.category, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["page_content", "source_url", "title", "category", "page_number", "error"]).astype({"page_number": "Int32"})
+
+    some = sources.where("type = 'pdf'").select("url", "title", "category").repartition(U.authority(F.col("url")))
+    got = some.mapInPandas(run, "page_content string, source_url string, title string, category string, page_number int, error string").persist()
+    docs = got.where("error is null").select("page_content", "source_url", "title", "category", F.lit("pdf").alias("doc_type"), "page_number", F.lit(when).alias("ingested_at"))
+    return docs, got.where("error is not null").select(F.col("source_url").alias("url"), "error")
+
+
+def failures(pages: DataFrame) -> DataFrame:
+    """url, error of fetched sources that gave no page."""
+    why = F.when(F.col("status").isNull(), "denied by robots rules").when(F.col("status") == -1, F.col("body")).otherwise(F.concat(F.lit("status "), F.col("status").cast("string")))
+    return pages.where("status is null or status <> 200").select("url", why.alias("error"))
+
+
+def discover(spark: SparkSession, sitemap: str, fetch: Fetcher, agent: str, scopes: tuple[str, ...]) -> DataFrame:
+    """The classified URLs of a site's map. A map that robots rules deny, or that can't be had, is an error."""
+    if not Politeness(fetch, agent, 0.0).allowed(sitemap):
+        raise PermissionError(f"robots rules deny {sitemap}")
+    status, xml = fetch(sitemap)
+    if status != 200:
+        raise OSError(f"{sitemap}: status {status}")
+    return classified(sitemap_urls(spark.createDataFrame([(xml,)], "xml string")), scopes)
+
+
 def documents(pages: DataFrame, when: str) -> DataFrame:
-    """Fetched HTML sources as documents: page_content, source_url, title, category, doc_type, page_number, ingested_at."""
+    """Fetched HTML sources as documents: page_content, source_url, title, category, doc_type, page_number, ingested_at. PDF sources: pdf_documents."""
     known = F.when(F.col("type").isin("html", "pdf"), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("unknown source type: "), F.coalesce("type", F.lit("null")))))
     ok = pages.withColumn("doc_type", known).where("status = 200 and doc_type = 'html'")
     return ok.select(clean_html_column(F.col("body")).alias("page_content"), F.col("url").alias("source_url"), "title", "category", "doc_type", F.lit(None).cast("int").alias("page_number"), F.lit(when).alias("ingested_at"))

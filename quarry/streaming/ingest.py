@@ -23,12 +23,10 @@ def stream(spark: SparkSession, folder: str, store: VectorStore, embed: Embedder
     def add(batch: DataFrame, _: int) -> None:
         docs = batch.select(clean_html_column(F.col("html")).alias("page_content"), F.col("url").alias("source_url"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("page_number"))
         rows = embedded(chunk_documents(docs, config.chunk_size, config.chunk_overlap).dropDuplicates(["chunk_id"]), embed)
-        try:
-            store.rows()
-        except Exception:
-            store.reset(rows)
-        else:
+        if store.exists():
             store.add(rows)
+        else:
+            store.reset(rows)
 
     writer = spark.readStream.schema(PAGE).parquet(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

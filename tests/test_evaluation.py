@@ -47,6 +47,21 @@ def test_result_log(spark, tmp_path):
     assert [(r.id, r.answer, r.retrieval_pass, r.refusal_pass) for r in got] == [(1, "é", None, True)]
 
 
+def test_appended_last_counts(spark, tmp_path):
+    """A short append and then a longer one: files are read by size, results must not be."""
+    path = f"{tmp_path}/results"
+    cases = spark.createDataFrame([(1, "q", "c", "answer")], "id int, question string, category string, expected_behavior string")
+    none = {n: F.lit(None) for n in ("sources", "retrieval_diagnostics")}
+    for text, mode in (("old", "best"), ("new " * 3000, "best"), ("other", "fast")):
+        row = cases.withColumns({"answer": F.lit(text), **{f"{m}_pass": F.lit(True) for m in E.METRICS}, **none})
+        tables.append_results(row, path, mode)
+    saved = tables.read_results(spark, path)
+    assert [r.answer[:3] for r in E.latest_saved(cases, saved.where("mode = 'best'")).collect()] == ["new"]
+    assert {r["mode"]: r.retrieval for r in E.summary(saved).collect()} == {"best": "100%", "fast": "100%"}
+    with pytest.raises(Exception):
+        tables.read_results(spark, "nostore://x/y")
+
+
 def test_chunk_cache(spark, tmp_path):
     chunks = spark.createDataFrame([("text é", "u", None, "c1", 0)], "page_content string, source_url string, title string, chunk_id string, chunk_index int")
     tables.write_chunks(chunks, f"{tmp_path}/c")

@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark import cloudpickle
 
-from quarry.plans import chain, ingest
+from quarry.__main__ import parser
+from quarry.plans import chain, evaluate, ingest
 from quarry.plans.config import Config
 from quarry.sources import tables, web
 from quarry.sources.store import HashingEmbedder, VectorStore, embedded
@@ -106,6 +107,52 @@ def test_chain(spark, tmp_path):
     assert [r.text for r in variants if r.query_id == 1] == ["one variant", "loans text", "grants rules"]
 
 
+def test_pdf_and_errors(spark, tmp_path):
+    more = spark.createDataFrame([("https://x/a.pdf", "pdf", "c", "A"), ("https://x/denied/b.pdf", "pdf", "c", "B"), ("https://x/broken.pdf", "pdf", "c", "C")], tables.SOURCE)
+
+    def download(url):
+        if "broken" in url:
+            raise OSError("torn")
+        return b"first page of the file|  |third page"
+
+    store = VectorStore(spark, f"{tmp_path}/store")
+    rows = ingest.run(spark, sources(spark, ["https://x/gone"]).unionByName(more), fetch, f"{tmp_path}/cache", store, EMBED, f"{tmp_path}/marker", "w", config=Config(request_delay=0.0), download=download, pages_of=lambda b: b.decode().split("|"), errors=f"{tmp_path}/errors")
+    assert sorted((r.page_number, r.page_content, r.doc_type) for r in rows.where("source_url = 'https://x/a.pdf'").collect()) == [(1, "first page of the file", "pdf"), (3, "third page", "pdf")]
+    wrong = {r.url: r.error for r in spark.read.json(f"{tmp_path}/errors").collect()}
+    assert wrong == {"https://x/gone": "gone", "https://x/denied/b.pdf": "denied by robots rules", "https://x/broken.pdf": "torn"}
+
+
+def test_discover(spark):
+    pages = {"https://x/robots.txt": (200, "User-agent: *\nDisallow: /private"), "https://x/map.xml": (200, "<urlset><url><loc>https://x/buying-a-flat/fees</loc></url><url><loc>https://x/other</loc></url></urlset>")}
+    got = web.discover(spark, "https://x/map.xml", pages.__getitem__, "bot", ("/buying-a-flat/",)).collect()
+    assert [r.url for r in got] == ["https://x/buying-a-flat/fees"]
+    with pytest.raises(PermissionError):
+        web.discover(spark, "https://x/private/map.xml", pages.__getitem__, "bot", ())
+
+
+def judge(prompts):
+    return ["YES" if "loans" in p or "context" in p else "NO" for p in prompts]
+
+
+def test_evaluation_run(spark, tmp_path):
+    store, _ = run(spark, tmp_path)
+    cases = spark.createDataFrame([(1, "loans rules", "answer", ["/loans"], "c"), (2, "weather?", "refuse", None, "c")], tables.CASE)
+    text = evaluate.run(cases, store.rows(), EMBED, model, model, judge, f"{tmp_path}/log", "2026-02-03", commit="abc")
+    assert "| best | 100% | 100% | 100% | 100% | 50% |" in text and "| fast | 100%" in text and "**#2** (c, failed: refusal)" in text
+    saved = tables.read_results(spark, f"{tmp_path}/log")
+    assert saved.count() == 4 and '"rank":1' in saved.where("mode = 'best' and id = 1").first().retrieval_diagnostics
+    changed = cases.replace("weather?", "rain?", "question")
+    evaluate.run_mode(changed, store.rows(), EMBED, model, model, judge, "fast", f"{tmp_path}/log")
+    assert tables.read_results(spark, f"{tmp_path}/log").count() == 5  # only the case that changed was asked again
+
+
+def test_settings_and_command_line():
+    got = Config.from_environment({"QUARRY_CHUNK_SIZE": "77", "QUARRY_BM25_WEIGHT": "0.5", "QUARRY_SCOPE_PATHS": "/a/,/b/"})
+    assert (got.chunk_size, got.bm25_weight, got.scope_paths, got.chunk_overlap) == (77, 0.5, ("/a/", "/b/"), 150)
+    a = parser().parse_args(["evaluate", "cases.yaml", "--mode", "fast", "--results", "r", "--folder", "f", "--fast", "json:dumps", "--model", "json:dumps", "--judge", "json:dumps"])
+    assert a.mode == ["fast"] and callable(a.judge)
+
+
 def test_stream(spark, tmp_path):
     folder, store = tmp_path / "in", VectorStore(spark, f"{tmp_path}/store")
     folder.mkdir()
