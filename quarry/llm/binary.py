@@ -4,8 +4,9 @@ A shard is one row of a Parquet table that Spark writes and reads, so any store
     part, seq      the range and the place in it: order of the shard
     first, last    smallest and largest key
     n_tokens       ids in the shard
-    keys           the keys in ascending order (<i8), nulls first as the smallest value
-    turns          how many equal keys came before (<u4): repeated keys stay separate
+    nulls          how many of its first keys are null
+    keys           the keys in ascending order (<i8), null ones as the smallest value
+    turns          how many equal keys came before in the range (<u4): repeated keys stay separate, known by part, key and turn
     ids            the raw payload, all documents one after another (<u2, or <u4 for large vocabularies)
     levels         the perfect hash: bit arrays, one after another (uint8)
     level_bits     their sizes in bits
@@ -31,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, texts
+from quarry.llm.bytewords import word_ids
+from quarry.llm.common import bounded_batches, keep_heap, texts, written
 
 SHARD_IDS = 2_000_000
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 600_000
 NULL_KEY = -(2**63)
-SCHEMA = "part int, seq int, first long, last long, n_tokens long, width int, keys binary, turns binary, ids binary, levels binary, level_bits binary, prints binary, offsets binary, lengths binary"
+SCHEMA = "part int, seq int, first long, last long, n_tokens long, width int, nulls int, keys binary, turns binary, ids binary, levels binary, level_bits binary, prints binary, offsets binary, lengths binary"
 
 
 def mixed(keys: np.ndarray, turns: np.ndarray, seed: int) -> np.ndarray:
@@ -117,12 +120,18 @@ class Shard:
         at = np.where(there, at, 0)
         return there, self.offsets[at] if len(self.offsets) else at, self.lengths[at] if len(self.lengths) else at
 
+    def first_turns(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the keys (ascending) that stand here, and the turn each begins with: 0, but for a key that the shard before ends with."""
+        if len(keys) and len(self.keys) and self.turns[0] and keys[0] == self.keys[0]:
+            return keys, np.where(keys == self.keys[0], self.turns[0], 0)
+        return keys, np.zeros(len(keys), np.int64)
+
     def get(self, key: int, turn: int = 0) -> np.ndarray | None:
         there, offset, length = self.find(np.array([key], np.int64), np.array([turn], np.uint32))
         return self.ids[offset[0] : offset[0] + length[0]] if there[0] else None
 
 
-def packed(part: int, seq: int, keys: list[int], turns: list[int], payloads: list[bytes], width: int) -> dict:
+def packed(part: int, seq: int, keys: list[int], turns: list[int], payloads: list[bytes], width: int, nulls: int = 0) -> dict:
     k, t = np.array(keys, np.int64), np.array(turns, np.uint32)
     lengths = np.array([len(p) // width for p in payloads], np.int64)
     offsets = np.cumsum(lengths) - lengths
@@ -135,7 +144,7 @@ def packed(part: int, seq: int, keys: list[int], turns: list[int], payloads: lis
         return out.tobytes()
 
     return {
-        "part": part, "seq": seq, "first": keys[0], "last": keys[-1], "n_tokens": int(lengths.sum()), "width": width,
+        "part": part, "seq": seq, "first": keys[0], "last": keys[-1], "n_tokens": int(lengths.sum()), "width": width, "nulls": nulls,
         "keys": k.astype("<i8").tobytes(), "turns": t.astype("<u4").tobytes(), "ids": b"".join(payloads),
         "levels": b"".join(np.packbits(b, bitorder="little").tobytes() for b in ph.bits), "level_bits": np.array([len(b) for b in ph.bits], "<u4").tobytes(),
         "prints": ordered(prints_of(k, t)), "offsets": ordered(offsets), "lengths": ordered(lengths),
@@ -143,15 +152,16 @@ def packed(part: int, seq: int, keys: list[int], turns: list[int], payloads: lis
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each part once while it is remembered.
+    """Ids of whole texts by the tokenizers library, which sees each part of a word once while it is remembered.
 
     White space only separates, so the ids of a text are those of its words in order. A word of plain
     letters followed by plain punctuation is two parts, as in the library's own pattern; any other
-    word is one. A-Z are lower-cased first, as the library would.
+    word is one. A-Z are lower-cased first, as the library would. Texts that hold an added token of the
+    library go to it whole.
     """
 
-    LETTERS, SIGNS, WHITE = r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]", r"[ \t\n\r]"
-    PARTS = re.compile(rf"{LETTERS}+(?={SIGNS}*(?:{WHITE}|\Z))|{SIGNS}+(?={WHITE}|\Z)|[^ \t\n\r]+")
+    LETTERS, SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+    PARTS = re.compile(rf"{LETTERS}+(?={SIGNS}*\Z)|{SIGNS}+(?=\Z)|.+", re.DOTALL)
 
     def __init__(self, path: str):
         import os
@@ -160,35 +170,50 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values() if t.content]
         self.width, self.code = (2, "H") if self.lib.get_vocab_size() <= 1 << 16 else (4, "I")
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> None:
-        """Remembers the ids of all these parts; forgets the rest when there would be too many."""
-        if len(self.known) + len(parts) > CACHE_PARTS:
-            keep = [p for p in parts if p in self.known]
-            self.known = {p: self.known[p] for p in keep}
-        new = list(parts.difference(self.known))
-        for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = array(self.code, e.ids).tobytes()
-
-    def encode(self, texts_: list[str], end: bytes) -> list[bytes]:
-        """Payloads of the texts. At most CACHE_PARTS different parts are held, however long a text is."""
-        lists = [self.PARTS.findall(t.encode().lower().decode()) for t in texts_]
-        met = set().union(*lists)
-        if len(met) <= CACHE_PARTS:
-            self.learn(met)
-            get = self.known.__getitem__
-            return [b"".join(map(get, parts)) + end for parts in lists]
-        out = []
-        for parts in lists:
-            runs = []
-            for i in range(0, len(parts), CACHE_PARTS):
-                some = parts[i : i + CACHE_PARTS]
-                self.learn(set(some))
-                runs.append(b"".join(map(self.known.__getitem__, some)))
-            out.append(b"".join(runs) + end)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of these words. New ones are remembered; others are forgotten where there would be too many."""
+        get = self.known.get
+        found = list(map(get, words))
+        new = [w for w, f in zip(words, found) if f is None]
+        if not new:
+            return found
+        if len(self.known) + len(new) > CACHE_PARTS:
+            self.known.clear()
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        for i in range(0, len(new), CACHE_PARTS):
+            cut = [self.PARTS.findall(w.decode()) for w in new[i : i + CACHE_PARTS]]
+            unseen = list({p for parts in cut for p in parts}.difference(self.parts))
+            for p, e in zip(unseen, self.lib.encode_batch_fast(unseen, add_special_tokens=False)):
+                self.parts[p] = array(self.code, e.ids).tobytes()
+            self.known.update(zip(new[i : i + CACHE_PARTS], (b"".join(map(self.parts.__getitem__, parts)) for parts in cut)))
+        some = dict(zip(new, map(self.known.__getitem__, new)))
+        return [some[w] if f is None else f for w, f in zip(words, found)]
+
+    def encode(self, texts_: pa.Array, end: bytes) -> list[bytes]:
+        """Payloads of the texts, each with the end."""
+        out: list[bytes] = []
+        for sizes, local, words in word_ids(texts_):
+            payloads = self.learn(words)
+            length = np.fromiter(map(len, payloads), np.int64, len(payloads)) // self.width
+            flat = np.frombuffer(b"".join(payloads), f"<u{self.width}")
+            begin = np.cumsum(length) - length
+            of_each = length[local]
+            stops = np.concatenate([[0], np.cumsum(of_each)])
+            ids = flat[np.arange(stops[-1]) + np.repeat(begin[local] - stops[:-1], of_each)]
+            edge = stops[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+            out += [ids[a:z].tobytes() + end for a, z in zip(edge, edge[1:])]
+        for token in self.added:
+            for i in np.flatnonzero(pc.match_substring(texts_, token, ignore_case=True).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self.ids(texts_[i].as_py()) + end
         return out
 
 
@@ -197,17 +222,32 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+    """doc_id, ids (the payload of its text and the end) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
+        enc = word_encoder(tokenizer)
+        end = np.array([end_id], f"<u{enc.width}").tobytes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.encode(b.column(1), end), pa.binary())], names=["doc_id", "ids"])
+
+    bounded_batches(docs.sparkSession)
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary")
+
+
 def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The shards of all documents in ascending key order, one row each (see the module's text).
 
-    Texts are dealt by range of key and sorted inside each range, then encoded, so neither a
-    range's ids nor its texts are ever held whole: a shard closes at shard_ids ids.
+    Texts are encoded where they are read. Payloads, a fraction of their size, are dealt by range of key, rows of one
+    key too by payload and row, and sorted inside each range, so a range is never held whole: a shard closes at shard_ids ids.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    order = F.coalesce(F.col("doc_id"), F.lit(NULL_KEY))
+    ids = written(encoded(docs, tokenizer, end_id), "token-ids")
+    order = (F.coalesce("doc_id", F.lit(NULL_KEY)), F.col("doc_id").isNotNull(), F.xxhash64("ids"), F.monotonically_increasing_id())
+    keyed = ids.select(*(c.alias(n) for c, n in zip(order, ("key", "known", "h", "row"))), "ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts(docs).select(order.alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    dealt = keyed.repartitionByRange(parts, "key", "known", "h", "row").sortWithinPartitions("key", "known", "h", "row").select("key", "known", "ids")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in SCHEMA.split(", ")])
@@ -215,24 +255,24 @@ def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = word_encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], f"<u{enc.width}").tobytes()
+        width, part = word_encoder(tokenizer).width, TaskContext.get().partitionId()
         keys: list[int] = []
         turns: list[int] = []
         payloads: list[bytes] = []
-        held, last, turn, seq = 0, None, 0, 0
-        close = lambda: pa.RecordBatch.from_pylist([packed(part, seq, keys, turns, payloads, enc.width)], schema=schema)
+        held, last, turn, seq, nulls = 0, None, 0, 0, 0
+        close = lambda: pa.RecordBatch.from_pylist([packed(part, seq, keys, turns, payloads, width, nulls)], schema=schema)
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist(), end)):
+            for key, known, one in zip(*(c.to_pylist() for c in batch.columns)):
                 turn = turn + 1 if key == last else 0
                 last = key
-                if payloads and held + len(ids) // enc.width > shard_ids:
+                if payloads and held + len(one) // width > shard_ids:
                     yield close()
-                    keys, turns, payloads, held, seq = [], [], [], 0, seq + 1
+                    keys, turns, payloads, held, seq, nulls = [], [], [], 0, seq + 1, 0
                 keys.append(key)
                 turns.append(turn)
-                payloads.append(ids)
-                held += len(ids) // enc.width
+                payloads.append(one)
+                held += len(one) // width
+                nulls += not known
         if payloads:
             yield close()
 
@@ -243,14 +283,45 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     pack_tokens(docs, tokenizer, end_id, shard_ids).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
 
 
+def find_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+    """doc_id, turn, part, ids (array of long) of the documents with these keys: only shards whose first and last key
+    enclose some are read, and each key is found by its shard's index."""
+    bounded_batches(spark)
+    wanted = np.unique(np.array(keys, np.int64))
+    if not len(wanted):
+        return spark.createDataFrame([], "doc_id long, turn int, part int, ids array<long>")
+    near = F.lit(False)
+    for some in np.array_split(wanted, min(64, len(wanted))):
+        near = near | ((F.col("first") <= int(some[-1])) & (F.col("last") >= int(some[0])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                shard, out = Shard(row), []
+                held = wanted[(wanted >= row["first"]) & (wanted <= row["last"])]
+                least = dict(zip(*(x.tolist() for x in shard.first_turns(held))))
+                for key in least:
+                    turn = least[key]
+                    while (ids := shard.get(key, turn)) is not None:
+                        if not (key == NULL_KEY and turn < row["nulls"]):
+                            out.append((key, turn, row["part"], ids.tolist()))
+                        turn += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), (), ()), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["doc_id", "turn", "part", "ids"])
+
+    return spark.read.parquet(path).where(near).mapInArrow(run, "doc_id long, turn int, part int, ids array<long>")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone and each by its key through the index:
     doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of 32-bit little-endian ids)."""
     bounded_batches(spark)
     shards = spark.read.parquet(path)
-    order = Window.orderBy("first", "last", "part", "seq")  # one row a shard, not a document
-    base = shards.select("first", "last", "part", "seq", "n_tokens").withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens"))
-    base = base.select("part", "seq", "base")
+    sizes = shards.select("part", "seq", "n_tokens")
+    inside = Window.partitionBy("part").orderBy("seq")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    base = sizes.withColumn("base", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("ahead")).alias("base"))
     joined = shards.join(F.broadcast(base) if shards.count() <= 100_000 else base, ["part", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +335,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = shard.ids.astype("<u4")
                 ends = offsets + lengths
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(offsets.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if k == NULL_KEY else k for k in shard.keys.tolist()], pa.int64()), pa.array(offsets.astype(np.int64) + row["base"]), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                keys = pa.array(shard.keys, pa.int64(), mask=np.arange(len(shard.keys)) < row["nulls"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(offsets.astype(np.int64) + row["base"]), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

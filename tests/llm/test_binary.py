@@ -1,16 +1,16 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quarry.llm.binary import PerfectHash, Shard, WordEncoder, packed, read_tokens, write_tokens
+from quarry.llm.binary import PerfectHash, Shard, WordEncoder, find_documents, packed, read_tokens, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIB = Tokenizer.from_file(PATH)
-LIB.encode_special_tokens = True
 OWN = WordEncoder(PATH)
 
 
@@ -19,19 +19,25 @@ def ids_of(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \nabTHE's.,!'%1éÉßñ́"), st.characters(exclude_categories=["Cs"])), max_size=50))
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\x0b\x0cabTHE's.,!'%1éÉßñ́"), st.characters(exclude_categories=["Cs"])), max_size=50))
 def test_words(text):
-    got = OWN.encode([text], np.array([2], "<u2").tobytes())[0]
+    got = OWN.encode(pa.array([text]), np.array([2], "<u2").tobytes())[0]
     assert np.frombuffer(got, "<u2").tolist() == ids_of(text)
 
 
+def test_added_tokens_as_the_library_has_them():
+    some = ["hello <|endoftext|> world", "<|startoftext|>a", "x<|ENDOFTEXT|>y", "<|endof text|>", " <|endoftext|><|endoftext|>  b", "plain"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in OWN.encode(pa.array(some), b"\2\0")] == [ids_of(t) for t in some]
+    assert 49407 in ids_of(some[0])
+
+
 def test_more_words_than_remembered(monkeypatch):
     import quarry.llm.binary as m
 
     monkeypatch.setattr(m, "CACHE_PARTS", 8)
     own = WordEncoder(PATH)
     all_texts = [" ".join(f"w{i}" for i in range(50)), "a b c", " ".join(f"x{i}." for i in range(9))]
-    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(all_texts, b"\2\0")] == [ids_of(t) for t in all_texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(pa.array(all_texts), b"\2\0")] == [ids_of(t) for t in all_texts]
 
 
 def test_perfect_hash():
@@ -55,16 +61,19 @@ def counted(text):
 
 
 def test_round_trip(spark, tmp_path):
-    rows = [(7, "The quick, brown fox!", 1), (2, None, 2), (None, "null key", 3), (7, "again", 4), (4, "", 5), (1, "word " * 9000, 6), (7, "again", 4)]
+    rows = [(7, "The quick, brown fox!", 1), (2, None, 2), (None, "null key", 3), (7, "again", 4), (4, "", 5), (1, "word " * 9000, 6), (7, "again", 4), (-(2**63), "least <|endoftext|>", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
     write_tokens(docs, f"{tmp_path}/t", PATH, shard_ids=20)
     got = sorted(read_tokens(spark, f"{tmp_path}/t").collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == [None, 1, 2, 4, 7, 7, 7]
+    assert [r.doc_id for r in got] == [None, -(2**63), 1, 2, 4, 7, 7, 7]
     left = [(k, *counted(t)) for k, t, _ in rows]
     start = 0
     for r in got:  # repeated keys in any order, each once
         left.remove((r.doc_id, r.n_tokens, r.ids_crc32))
         assert r.start == start
         start += r.n_tokens
+    found = find_documents(spark, f"{tmp_path}/t", [7, 4, 3, -(2**63)]).collect()
+    assert sorted((r.doc_id, r.ids) for r in found) == sorted((k, ids_of(t or "")) for k, t, _ in rows if k in (7, 4, -(2**63)))
+    assert find_documents(spark, f"{tmp_path}/t", []).count() == 0
     write_tokens(docs.limit(0), f"{tmp_path}/e", PATH)
     assert read_tokens(spark, f"{tmp_path}/e").count() == 0
