@@ -59,7 +59,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingl
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingle: int = 3) -> DataFrame:
-    """The documents without a hit word. A row goes if its doc_id has a hit in some row."""
-    hit = contamination(docs, benchmark, width, shingle).where("n_hit > 0").select("doc_id").distinct()
-    null_hit = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(hit, "doc_id", "left_anti").unionByName(null_hit.join(hit.where("doc_id is null").select(F.lit(1).alias("_hit")), F.lit(True), "left_anti"))
+    """The rows without a hit word. Each row is judged by its own text, whatever its doc_id."""
+    row = "_row" + "_" * max(map(len, docs.columns))  # clashes with no column
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-docs")
+    hit = contamination(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, width, shingle).where("n_hit > 0").select(F.col("doc_id").alias(row))
+    return numbered.join(written(hit, "decontaminate-hit"), row, "left_anti").select(*docs.columns)

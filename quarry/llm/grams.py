@@ -14,8 +14,10 @@ from quarry.llm.common import texts, written
 #: A word is a run of characters outside these (after A-Z are lower-cased).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many different k-grams are looked up in a set inside the scan; more are joined.
+#: Up to so many different k-grams are looked up in a set inside the scan.
 SET_SIZE = 20_000
+#: Up to so many hashes of k-grams are broadcast, to be joined where the texts are read; with more, all k-grams are shuffled.
+BROADCAST_KEYS = 4_000_000
 
 
 def lowered(text: Column) -> Column:
@@ -61,8 +63,12 @@ def positions(docs: DataFrame, grams: DataFrame, name: str) -> tuple[DataFrame,
         rows = kept.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"))
         every = None
         for k in sizes:
-            one = kept.where(F.size("words") >= k).select("rid", F.size("words").cast("long").alias("n_words"), F.posexplode(F.expr(f"transform(sequence(0, size(words) - {k}), i -> array_join(slice(words, i + 1, {k}), ' '))")).alias("pos", "g")).withColumn("size", F.lit(k))
+            cut = F.expr(f"transform(sequence(0, size(words) - {k}), i -> named_struct('pos', i, 'size', {k}, 'h', {gram(k)}, 'g', array_join(slice(words, i + 1, {k}), ' ')))")
+            one = kept.where(F.size("words") >= k).select("rid", F.size("words").cast("long").alias("n_words"), F.explode(cut).alias("x")).select("rid", "n_words", "x.*")
             every = one if every is None else every.unionByName(one)
+        hashes = written(hashed.select("h").distinct(), name + "-keys")
+        if hashes.count() <= BROADCAST_KEYS:  # eight bytes each
+            every = every.join(F.broadcast(hashes), "h", "left_semi")
         matches = written(every.join(sought, ["size", "g"], "left_semi").select("rid", "n_words", "pos", "size", "g"), name)
     return rows, matches
 

@@ -43,12 +43,16 @@ DOCS = [
 def test_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t, "x") for k, t in DOCS], "doc_id long, text string, item_id string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for size in (20_000, 3):  # looked up in a set, or joined
+    for size, sent in ((20_000, 0), (3, 4_000_000), (3, 0)):  # looked up in a set, joined where texts are read, or shuffled
         monkeypatch.setattr(grams, "SET_SIZE", size)
+        monkeypatch.setattr(grams, "BROADCAST_KEYS", sent)
         got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in contamination(docs, items).collect()), key=str)
         assert got == brute(DOCS, ITEMS)
     kept = sorted((r.doc_id for r in drop_contaminated(docs, items).collect()), key=str)
     assert kept == sorted((k for k, _, hit, _ in brute(DOCS, ITEMS) if not hit), key=str)
+    one_key = spark.createDataFrame([(5, DOCS[0][1], 0), (5, "clean", 1), (None, DOCS[0][1], 2), (None, "clean too", 3), (6, None, 4)], "doc_id long, text string, _row long")
+    hits = [not hit for _, _, hit, _ in brute([(i, t) for i, (_, t, _) in enumerate([(r.doc_id, r.text, 0) for r in one_key.collect()])], ITEMS)]
+    assert sorted(r._row for r in drop_contaminated(one_key, items).collect()) == [i for i, clean in enumerate(hits) if clean]
     assert contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert contamination(docs.limit(0), items).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
