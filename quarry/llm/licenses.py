@@ -6,7 +6,8 @@ own. A phrase stands where its diagonal has all its votes: that is exact. A noti
 single diagonal has the share of votes that is asked for. Besides, diagonals close to each other are
 merged (a changed, missing or added word shifts the rest by a little): of them, parts whose template
 ranges do not overlap are taken, the heaviest first or in template order, whichever gives more, as long
-as the span is not much longer than the template; their share of the template is the score.
+as the span is not much longer than the template; their share of the template is the score. Where notices
+overlap, only the best stays: related licences share most of their words.
 
 Defined results: a null text counts as empty: no words, no places, empty labels, score 0; repeated
 rows each give a row; extra columns are ignored; an empty table gives none.
@@ -44,8 +45,14 @@ NOTICES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license": "apache-2.0",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details": "gpl",
 }
+#: Words of a gram; the share of a template's grams asked for; diagonals so near are one band; spans are compared by blocks of so many words.
 GRAM, SHARE, NEAR = 2, 0.8, 3
+LONGEST = max(len(t.split(" ")) for t in NOTICES) * 3 // 2 + NEAR
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -69,7 +76,7 @@ def license_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("rid", "tid").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEAR).cast("int"), F.lit(1))
     bands = diagonals.where("kind = 'notice'").withColumn("band", apart).withColumn("band", F.sum("band").over(order))
-    whole = diagonals.where("kind = 'notice'").where(F.col("votes") / need >= SHARE).select("rid", "kind", "label", F.col("first").alias("start"), (F.col("last") + GRAM - 1).alias("stop"), (F.col("votes") / need).alias("score"))
+    whole = diagonals.where("kind = 'notice'").where(F.col("votes") / need >= SHARE).select("rid", "tid", "kind", "label", F.col("first").alias("start"), (F.col("last") + GRAM - 1).alias("stop"), F.col("votes").alias("n"), (F.col("votes") / need).alias("score"))
     part = F.struct("votes", "t_first", "t_last", "first", (F.col("last") + GRAM - 1).alias("stop"))
     merged = bands.groupBy("rid", "tid", "kind", "label", "length", "band").agg(F.collect_list(part).alias("parts")).where(F.size("parts") > 1)
     fits = f"not exists(s.taken, c -> x.t_first <= c.b and x.t_last >= c.a) and greatest(s.stop, x.stop) - least(s.start, x.first) + 1 <= length * 1.5 + {NEAR}"
@@ -80,8 +87,24 @@ def license_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ways = [fold.format(order=o) for o in ("case when l.votes <> r.votes then cast(sign(r.votes - l.votes) as int) else cast(sign(l.t_first - r.t_first) as int) end", "cast(sign(l.t_first - r.t_first) as int)")]
     best = merged.withColumn("best", F.expr("array_max(array(" + ", ".join(ways) + "))"))
     joined = best.withColumn("score", F.col("best.n") / need).where(F.col("score") >= SHARE).where("size(best.taken) > 1")
-    notices = whole.unionByName(joined.select("rid", "kind", "label", F.col("best.start").alias("start"), F.col("best.stop").alias("stop"), "score"))
-    return rows, phrases.unionByName(notices.select("rid", "kind", "label", "start", "stop", F.least("score", F.lit(1.0)).alias("score")))
+    notices = whole.unionByName(joined.select("rid", "tid", "kind", "label", F.col("best.start").alias("start"), F.col("best.stop").alias("stop"), F.col("best.n").alias("n"), "score"))
+    notices = written(notices.select("rid", "tid", "kind", "label", "start", "stop", "n", F.least("score", F.lit(1.0)).alias("score")), "licence-notices")
+    return rows, phrases.unionByName(best_of_overlapping(notices).select("rid", "kind", "label", "start", "stop", "score"))
+
+
+def best_of_overlapping(notices: DataFrame) -> DataFrame:
+    """Without the notices of which some word also lies in a better one: more of its template, then more votes.
+
+    Related licences share most of their words; the one that is really there has the higher share. A span is
+    shorter than a block, so it is compared with those of its block and the two beside it, which are a
+    bounded number, however often notices repeat.
+    """
+    block = F.floor(F.col("start") / LONGEST)
+    s = notices.withColumn("block", block).alias("s")
+    t = notices.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).alias("t")
+    over = (F.col("s.start") <= F.col("t.stop")) & (F.col("t.start") <= F.col("s.stop"))
+    better = (F.col("t.score") > F.col("s.score")) | ((F.col("t.score") == F.col("s.score")) & (F.col("t.n") > F.col("s.n")))
+    return s.join(t, (F.col("s.rid") == F.col("t.rid")) & (F.col("s.block") == F.col("t.block")) & over & better & (F.col("s.tid") != F.col("t.tid")), "left_anti").drop("block")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

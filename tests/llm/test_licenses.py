@@ -1,6 +1,6 @@
 """Notices that stand word for word must be found whatever stands beside them."""
 
-from quarry.llm.licenses import license_scan
+from quarry.llm.licenses import NOTICES, PHRASES, license_scan
 
 
 def test_repeats_and_stray_beginnings(spark):
@@ -13,3 +13,22 @@ def test_repeats_and_stray_beginnings(spark):
     assert got[3] == got[4] and "apache-2.0" in got[4][0] and got[4][1] == 1.0
     assert "apache-2.0" in got[5][0]
     assert got[6] == got[7] == (set(), 0.0)
+
+
+def test_every_notice_gets_its_own_label_and_no_relative(spark):
+    """Alone, thrice in a row, and with a word before, between and after."""
+    docs, want = [], {}
+    for text, label in NOTICES.items():
+        base = {v for k, v in PHRASES.items() if f" {k} " in f" {text} "}
+        for form in (text, f"{text} " * 3, f"see {text} then {text} end"):
+            want[len(docs)] = ({label} | base, base)
+            docs.append((len(docs), form.title()))
+    got = {r.doc_id: (set(r.labels), set(r.base_labels), r.score) for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, (labels, base) in want.items():
+        assert got[k] == (labels, base, 1.0), (docs[k][1], got[k])
+
+
+def test_many_notices_in_one_text(spark):
+    long = " ".join(f"{t} w{i}" for i in range(200) for t in NOTICES)
+    r = license_scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert set(r.labels) == set(NOTICES.values()) | {v for k, v in PHRASES.items() if any(f" {k} " in f" {t} " for t in NOTICES)}
