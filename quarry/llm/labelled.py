@@ -18,7 +18,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained: Col
     trained tells from doc_id which rows may be learned from. A key is chosen if its hash is under a
     cut that gives just under per_class of them: the same ones every time, spread over all rows, and
     no task sends the driver more than its share. Keys with differing labels take the
-    larger one; null labels and keys don't count. At most 2 * per_class keys are broadcast.
+    larger one, keys with several texts teach one of them, chosen by hash; null labels and keys don't count. At most
+    2 * per_class keys are broadcast.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & trained).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -29,7 +30,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained: Col
         chosen += own.limit(per_class).collect()
     keys = [(r["doc_id"], r["label"]) for r in chosen]
     bounded = F.broadcast(docs.sparkSession.createDataFrame(keys, "doc_id long, label int"))
-    return texts(docs).join(bounded, "doc_id").select("text", "label", "doc_id"), totals
+    rows = texts(docs).join(bounded, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return rows.select("one.text", "label", "doc_id"), totals
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Operator 2: toxicity by maximum-scoring segments of token log-odds.
 
 Words and their beginnings are weighed by the log-odds of toxic against clean documents under an
-informative Dirichlet prior; those that stand out (by their z-score) form the lexicon. A text is a
-sequence of scores: a lexicon word has its log-odds, any other a small loss. One linear scan finds all
+informative Dirichlet prior; those that stand out (by their z-score) form the lexicon, all of them. A text is a
+sequence of scores: a word that stands out, in toxic or in clean text, has its own log-odds, any other a small loss
+(its log-odds cannot be told from zero), which clean words have at least. One linear scan finds all
 maximal-scoring segments. A segment's score is judged by extreme-value statistics: in n words of clean
 text, K n exp(-lambda S) segments of score S or more are expected; lambda solves
 sum p exp(lambda s) = 1 over clean words, K matches the rate in clean training documents. Segments
@@ -32,7 +33,7 @@ from quarry.llm.common import bounded_batches, filtered, texts, written
 from quarry.llm.labelled import labelled_sample, logistic
 
 PER_CLASS = 5000
-LEXICON, LEAST_Z, PRIOR, SIGNIFICANT = 50_000, 2.5, 50.0, 0.05
+LEAST_Z, PRIOR, SIGNIFICANT = 2.5, 50.0, 0.05
 BEGINNINGS = (4, 5, 6)
 CACHE_WORDS = 300_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -44,31 +45,35 @@ def features(word: str) -> tuple[str, ...]:
     return (w, *(w[:n] + "~" for n in BEGINNINGS if len(w) > n)) if w else ()
 
 
-def segments(hits: list[tuple[int, float]], loss: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, one past the end, score), in linear time, of a sequence that is
-    -loss everywhere but at hits (position, positive score). Each ends at a hit."""
-    found: list[tuple[int, int, float, float]] = []  # start, stop, sum before, sum through
-    total, after = 0.0, 0
-    for at, score in hits:
-        total -= loss * (at - after)
-        start, before = at, total
-        total += score
-        after = at + 1
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= before:
-                j -= 1
-            if j < 0 or found[j][3] >= total:
-                found.append((start, at + 1, before, total))
-                break
-            start, before = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, r - left) for a, b, left, r in found]
+def segments(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (start, one past the end, score) of a sequence of scores, in linear time.
+
+    Each candidate keeps which one before it begins lower; the search for such a one follows these links, and a
+    candidate that is passed over is never looked at again by those that pass it.
+    """
+    start, stop, left, right, lower = [], [], [], [], []
+    after = 0.0
+    for at, score in enumerate(scores):
+        before, after = after, after + score
+        if score <= 0:
+            continue
+        begin, j = at, len(start) - 1
+        while j >= 0 and left[j] >= before:
+            j = lower[j]
+        while j >= 0 and right[j] < after:  # it begins lower and ends lower: one segment from its start
+            begin, before, k = start[j], left[j], j
+            j = lower[j]
+            for x in (start, stop, left, right, lower):
+                del x[k:]
+        for x, v in zip((start, stop, left, right, lower), (begin, at + 1, before, after, j)):
+            x.append(v)
+    return [(a, b, r - low) for a, b, low, r in zip(start, stop, left, right)]
 
 
 @dataclass
 class Model:
     lexicon: dict[str, float]
+    clean: dict[str, float] = field(default_factory=dict)  # words that stand out in clean text: negative scores
     loss: float = 0.05
     rate: float = 1.0  # lambda
     scale: float = 1.0  # K
@@ -76,10 +81,11 @@ class Model:
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word(self, word: str) -> float:
-        return max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
+        some = features(word)
+        best = max((self.lexicon.get(f, 0.0) for f in some), default=0.0)
+        return best if best > 0 else min(-self.loss, self.clean.get(some[0], 0.0) if some else 0.0)
 
-    def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words, and the segments."""
+    def scores(self, text: str) -> list[float]:
         words, cache = text.split(), self.cache
         scores = list(map(cache.get, words))
         if None in scores:
@@ -88,16 +94,22 @@ class Model:
             for i, s in enumerate(scores):
                 if s is None:
                     scores[i] = cache[words[i]] = self.word(words[i])
-        return len(words), segments([(i, s) for i, s in enumerate(scores) if s], self.loss) if any(scores) else []
+        return scores
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of words, and the segments."""
+        scores = self.scores(text)
+        return len(scores), segments(scores) if scores and max(scores) > 0 else []
 
     def expected(self, n: int, score: float) -> float:
-        return self.scale * n * math.exp(-min(700.0, self.rate * score))
+        """log of how many segments of this score or more are expected in n words of clean text."""
+        return math.log(self.scale * n) - self.rate * score
 
     def evidence(self, text: str) -> tuple[float, list[tuple[int, int, float, float]]]:
         n, found = self.scan(text)
         judged = [(a, b, s, self.expected(n, s)) for a, b, s in found]
-        passages = [x for x in judged if x[3] < SIGNIFICANT]
-        return math.log1p(sum(min(40.0, -math.log(max(x[3], 1e-300))) for x in passages)), passages
+        passages = [x for x in judged if x[3] < math.log(SIGNIFICANT)]
+        return math.log1p(sum(-x[3] for x in passages)), [(a, b, s, math.exp(max(-700.0, e))) for a, b, s, e in passages]
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] * evidence + self.curve[1]))))
@@ -136,18 +148,25 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "toxic
     odds = F.log(y1 / (d1 + PRIOR - y1 + 1e-9)) - F.log(y0 / (d0 + PRIOR - y0 + 1e-9))
     z = odds / F.sqrt(1 / y0 + 1 / y1)
     strong = counts.where((F.col("f") != "") & (F.col("f") != "\t") & (F.col("n1") >= 3) & (F.col("n1") * d0 > 4 * d1 * F.col("n0"))).select("f", "n0", odds.alias("odds"), z.alias("z")).where(F.col("z") >= LEAST_Z)
-    kept = strong.orderBy(F.desc("z"), "f").limit(LEXICON).collect()  # the lexicon's documented bound
-    model = Model({r.f: r.odds for r in kept if r.odds > 0})
-    rows = _scanned(sample, model)
-    y = np.array([r["label"] for r in rows])
-    words0 = max(1, sum(r["n"] for r in rows if not r["label"]))
-    words1 = max(1, sum(r["n"] for r in rows if r["label"]))
-    hit0, hit1 = (sum(len(r["segments"]) for r in rows if r["label"] == k) for k in (0, 1))
-    model.loss = max(0.01, math.log((1 - (hit0 + 0.5) / words0) / max(1e-6, 1 - (hit1 + 0.5) / words1)))
-    model.rate = _rate({r.f: r for r in kept}, model, d0, words0)
-    clean = [s for r in rows if not r["label"] for s in r["segments"]]
+    model = Model({r.f: r.odds for r in strong.where("odds > 0").collect()})  # of a sample of bounded size
+    weak = counts.where((F.col("f") != "") & (F.col("f") != "\t") & ~F.endswith("f", F.lit("~"))).select("f", odds.alias("odds"), z.alias("z")).where(F.col("z") <= -LEAST_Z)
+    model.clean = {r.f: r.odds for r in weak.collect()}
+    model.loss = 0.0
+    seen = _tallied(sample, model)
+    words = [max(1, sum(n for (k, _), n in seen.items() if k == y)) for y in (0, 1)]
+    share_of = [(sum(n for (k, s), n in seen.items() if k == y and s > 0) + 0.5) / (words[y] + 1) for y in (0, 1)]
+    model.loss = max(0.01, math.log((1 - share_of[0]) / (1 - share_of[1])))
+    model.cache = {}
+    by_score = {s: n / words[0] for (k, s), n in seen.items() if k == 0}
+    p = np.array([*by_score.values(), *(0.5 / words[0] / max(1, len(model.lexicon)) for _ in model.lexicon)])  # each lexicon word half a time more
+    s = np.array([*(min(x, -model.loss) if x <= 0 else x for x in by_score), *model.lexicon.values()])
+    mean = float((p * s).sum())
+    if mean >= 0:  # else no lambda is positive
+        more = 1e-3 + 2 * mean / max(1e-9, float(p[s <= 0].sum()))
+        model.loss, s = model.loss + more, np.where(s <= 0, s - more, s)
+    model.rate = _rate(p, s)
     floor = min(model.lexicon.values(), default=1.0)
-    model.scale = (sum(s >= floor for s in clean) + 0.5) / words0 * math.exp(model.rate * floor)
+    model.scale = (_long_segments(sample, model, floor) + 0.5) / words[0] * math.exp(min(700.0, model.rate * floor))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,28 +180,44 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "toxic
     return model
 
 
-def _scanned(sample: DataFrame, model: Model) -> list:
+def _tallied(sample: DataFrame, model: Model) -> dict[tuple[int, float], int]:
+    """How often each label's words have each score: as many scores as the model has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: Counter = Counter()
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.update((y, s) for s in model.scores(text))
+        keys = list(by)
+        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.float64()), pa.array([by[k] for k in keys], pa.int64())], names=["label", "s", "n"])
+
+    return {(r.label, r.s): r.n for r in sample.mapInArrow(run, "label int, s double, n long").groupBy("label", "s").agg(F.sum("n").alias("n")).collect()}
+
+
+def _long_segments(sample: DataFrame, model: Model, floor: float) -> int:
+    """Segments of this score or more in clean documents of the sample."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.scan(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for *_, s in f] for _, f in got], pa.list_(pa.float64()))], names=["label", "n", "segments"])
+            n = sum(s >= floor for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not y for *_, s in model.scan(text)[1])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return sample.mapInArrow(run, "label int, n long, segments array<double>").collect()  # 2 * per_class rows at most
+    return sample.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _rate(kept: dict, model: Model, docs0: float, words0: float) -> float:
-    """lambda: the positive root of sum p exp(lambda s) = 1 over words of clean text."""
-    p = np.array([(kept[f].n0 + 0.5 / len(model.lexicon)) / words0 for f in model.lexicon])
-    s = np.array(list(model.lexicon.values()))
-    if not len(p):
+def _rate(p: np.ndarray, s: np.ndarray) -> float:
+    """lambda: the positive root of sum p exp(lambda s) = sum p over words of clean text, whose mean score is negative.
+    1 where no word has a positive score."""
+    if not (s > 0).any():
         return 1.0
-    rest = max(0.0, 1 - p.sum())
-    low, high = 1e-3, 10.0
-    for _ in range(60):
+    over = lambda x: float((p * np.expm1(np.minimum(x * s, 700))).sum()) >= 0
+    low, high = 0.0, 1.0
+    while not over(high):
+        low, high = high, 2 * high
+    for _ in range(80):
         mid = (low + high) / 2
-        value = float((p * np.exp(np.minimum(mid * s, 700))).sum()) + rest * math.exp(-mid * model.loss)
-        low, high = (mid, high) if value < 1 else (low, mid)
-    return min(low, 2.0)
+        low, high = (low, mid) if over(mid) else (mid, high)
+    return high
 
 
 def toxicity(docs: DataFrame, model: Model, passages: bool = False, keep: Callable[[float], bool] | None = None) -> DataFrame:

@@ -36,13 +36,36 @@ def test_segments_against_brute_force():
 
     r = np.random.default_rng(6)
     for _ in range(60):
-        scores = np.where(r.random(40) < 0.3, np.round(r.random(40) * 3, 3) + 0.001, -0.731)
-        got = segments([(i, s) for i, s in enumerate(scores.tolist()) if s > 0], 0.731)
+        scores = np.where(r.random(40) < 0.3, np.round(r.random(40) * 3, 3) + 0.001, -np.round(r.random(40), 3) - 0.0007)
+        got = segments(scores.tolist())
         want = brute(scores.tolist(), 0, 40)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_segments_take_linear_time():
+    import time
+
+    def seconds(n):
+        some = [x for _ in range(n) for x in (1.0, -1.5)]
+        began = time.perf_counter()
+        for _ in range(5):
+            segments(some)
+        return time.perf_counter() - began
+
+    assert min(seconds(16_000) / seconds(8_000) for _ in range(5)) <= 2.6
+    assert segments([1.0, -1.5] * 3) == [(0, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0)]
+
+
+def test_toxicity_scores_against_a_slow_version():
+    model = Model({"bad": 2.0, "wors~": 1.0}, {"calm": -0.7}, loss=0.1, rate=0.9, scale=0.02, curve=(2.0, -3.0))
+    for text in ("", "calm " * 9, "a Bad, WORSE calm bad b", "bad " * 60, "a " * 500 + "bad bad" + " a" * 500):
+        words = text.split()
+        scores = [2.0 if w.lower().strip(",") == "bad" else 1.0 if w.lower().startswith("wor") else -0.7 if w == "calm" else -0.1 for w in words]
+        total = sum(-math.log(0.02 * len(words) * math.exp(-0.9 * s)) for *_, s in segments(scores) if 0.02 * len(words) * math.exp(-0.9 * s) < 0.05)
+        assert math.isclose(model.probability(model.evidence(text)[0]), 1 / (1 + math.exp(-(2.0 * math.log1p(total) - 3.0))), rel_tol=1e-9)
+
+
 def corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     clean = [(10_000 + i, "the good and calm text of day number " + " ".join(chr(97 + (i * k) % 26) * 3 for k in range(1, 30))) for i in range(300)]
