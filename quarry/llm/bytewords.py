@@ -1,4 +1,4 @@
-"""Words of many texts at once: runs of bytes other than ASCII white space, with A-Z in lower case.
+"""Words of many texts at once: runs of bytes other than ASCII white space, with A-Z in lower case if folded.
 
 Words are told apart by 64 bits of a polynomial hash and their length, all in numpy over the bytes of an Arrow
 column, so that only different words become Python objects. Texts too long for that are split one by one.
@@ -17,17 +17,18 @@ PIECE = 4 << 20
 SPACES = b"\t\n\x0b\x0c\r "
 
 
-def split(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def split(text: str, fold: bool = True) -> list[bytes]:
+    return (text.encode().lower() if fold else text.encode()).split()
 
 
 @functools.cache
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tables(fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which bytes belong to words, the value of each byte, powers of an odd number and of its inverse (mod 2^64)."""
     word = np.ones(256, bool)
     word[list(SPACES)] = False
     value = np.random.default_rng(21).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    value[65:91] = value[97:123]
+    if fold:
+        value[65:91] = value[97:123]
     base = 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
         powers = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, b, np.uint64)])) for b in (base, pow(base, -1, 2**64))]
@@ -40,28 +41,28 @@ def local(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]
     return np.array([len(some) for some in words], np.int64), ids, list(known)
 
 
-def word_ids(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def word_ids(texts: pa.Array, fold: bool = True, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """For runs of texts (no nulls), in order: the number of words of each text, an id for each word, the different words by id."""
     if len(texts) == 0:
         return
     texts = texts.cast(pa.string())
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    i = 0
+    i, most = 0, min(most or PIECE, PIECE)
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         if offsets[j] - offsets[i] > PIECE:
-            yield local([split(texts[i].as_py())])
+            yield local([split(texts[i].as_py(), fold)])
         else:
             some = data[offsets[i] : offsets[j]]
-            got = pieces(some, offsets[i : j + 1] - offsets[i])
-            yield got if got else local([split(t) for t in texts.slice(i, j - i).to_pylist()])
+            got = pieces(some, offsets[i : j + 1] - offsets[i], fold)
+            yield got if got else local([split(t, fold) for t in texts.slice(i, j - i).to_pylist()])
         i = j
 
 
-def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]] | None:
+def pieces(data: np.ndarray, bounds: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]] | None:
     """The same for the bytes of some texts; None in the rare case that hashes don't tell words apart."""
-    inside, value, power, inverse = tables()
+    inside, value, power, inverse = tables(fold)
     word = inside[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -84,6 +85,6 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ids = np.empty(len(h), np.int64)
     ids[order] = np.cumsum(new) - 1
     one = order[new]
-    blob = data.tobytes().lower()
+    blob = data.tobytes().lower() if fold else data.tobytes()
     words = [blob[a:z] for a, z in zip(starts[one].tolist(), ends[one].tolist())]
     return np.diff(np.searchsorted(starts, bounds)), ids, words

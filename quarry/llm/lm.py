@@ -95,24 +95,29 @@ class Vocabulary:
         return out
 
 
-def vocabulary(counts: DataFrame, rows: int) -> Vocabulary:
-    """From the word counts and the number of training texts (each has an end).
+def head_words(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], Column | None]:
+    """The most frequent words (word, c), most first, `most` at most; and which rows they are, None for all.
 
-    Head words are whole bands of like frequency, and of the band that fits no more a part chosen by hash.
+    They are whole bands of like frequency, and of the band that fits no more a part chosen by hash, so no task
+    sends the driver more than its share.
     """
-    whole = counts.agg(F.sum("c"), F.count("*")).first()
-    total, different = int(whole[0] or 0) + rows, int(whole[1]) + (rows > 0)
     band = F.when(F.col("c") < 1000, F.col("c")).otherwise(F.floor(F.log("c") * 200))  # some thousand bands whatever the counts
-    room, cut, part = HEAD, 0, 0
+    room, cut, part = most, 0, 0
     for r in sorted(counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.band):
         if r.n > room:
             cut, part = r.band, int(2**32 * max(0.0, room - 5 * room**0.5) / r.n)  # five deviations under the room
             break
         room -= r.n
-    lot = F.crc32(F.col("word").cast("binary"))
-    mine = (band > cut) | ((band == cut) & (lot < part)) if cut else F.lit(True)
-    found = counts.where(mine).toArrow()  # HEAD words at most
-    head = sorted(zip(found.column("word").cast(pa.binary()).to_pylist(), found.column("c").to_pylist()), key=lambda r: (-r[1], r[0]))
+    mine = (band > cut) | ((band == cut) & (F.crc32(F.col("word").cast("binary")) < part)) if cut else None
+    found = (counts if mine is None else counts.where(mine)).toArrow()
+    return sorted(zip(found.column("word").cast(pa.binary()).to_pylist(), found.column("c").to_pylist()), key=lambda r: (-r[1], r[0])), mine
+
+
+def vocabulary(counts: DataFrame, rows: int) -> Vocabulary:
+    """From the word counts and the number of training texts (each has an end)."""
+    whole = counts.agg(F.sum("c"), F.count("*")).first()
+    total, different = int(whole[0] or 0) + rows, int(whole[1]) + (rows > 0)
+    head, mine = head_words(counts, HEAD)
     tails = TAILS if len(head) < different - (rows > 0) else 1
     fan = next(f for f in range(4, FAN + 1) if f**3 >= 1 + tails + len(head))
     weight, logs = np.zeros(1 + tails + len(head)), np.zeros(1 + tails + len(head))
@@ -120,7 +125,7 @@ def vocabulary(counts: DataFrame, rows: int) -> Vocabulary:
     weight[1 + tails :] = [c + 1 for _, c in head]
     logs[weight > 0] = np.log10(weight[weight > 0])
     logs[1 : 1 + tails] = 0.0
-    if cut:
+    if mine is not None:
         leaf = F.crc32(F.col("word").cast("binary")) % tails
         for r in counts.where(~mine).groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("w")).collect():  # TAILS rows at most
             weight[1 + r.leaf] += r.w

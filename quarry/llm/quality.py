@@ -1,19 +1,21 @@
 """Operator 10: a quality classifier on random-indexing word vectors.
 
-Every word has two units: itself in lower case without punctuation around it, hashed to one of WORDS
-buckets, and its shape (runs of upper case, lower case, digits, and each other sign once), hashed to one
-of SHAPES; a word that repeats the one before it has a third. A unit has a sparse random index vector;
-its word vector is the sum of the index vectors of the units around it over all documents (random
-indexing), scaled to length 1, plus its own index vector. A document is the mean of its words'
-vectors and of its shapes' vectors. A network with one hidden layer, trained in numpy, gives
-a logit, and a temperature fitted on rows it was not trained on makes it a probability.
-
-The vectors cover all documents; the network is fitted on a sample of at most PER_CLASS training
+A word's form is it in lower case without punctuation around it. Every form has a sparse random index vector
+from its hash, and so has every shape (runs of upper case, lower case, digits, and each other sign once), and so has
+repetition of the word before. A unit's context vector is the sum of the index vectors of the words, shapes and
+repetitions around it, WINDOW words either way in the same document, over all documents (random indexing). Forms of one of BUCKETS
+buckets share a context vector, as shapes do in SHAPES. A word's vector is its context vector scaled to length 1, plus its own
+index vector, so different words have different ones, however many there are. A document is the mean of its words' vectors and of its shapes' vectors.
+A network with one hidden layer, trained in numpy, gives a logit, and a temperature fitted on
+rows it was not trained on makes it a probability.
+
+Index vectors hold whole numbers, so sums are exact and the same in any order of rows. The
+vectors cover all documents; the network is fitted on a sample of at most PER_CLASS training
 documents of each label, weighted to the labels' true shares.
 
-Defined results: null and empty texts are the zero vector and get what the network says of it; without
-a training row of either label every score is the share of good rows; repeated rows each give a
-row; extra columns are ignored; an empty table gives none.
+Defined results: words are what white space separates; null and empty texts are the zero vector and get what
+the network says of it; without a training row of either label every score is the share of good rows;
+repeated rows each give a row; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,121 +30,182 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, filtered, texts, written
+from quarry.llm.common import bounded_batches, filtered, keep_heap, texts, written
 from quarry.llm.labelled import labelled_sample
 
 PER_CLASS = 4000
-WORDS, SHAPES, DIM, NONZERO, WINDOW, SLICE = 4096, 1024, 32, 6, 2, 50_000
-SAME, UNITS = WORDS + SHAPES, WORDS + SHAPES + 1
-CACHE_WORDS = 300_000
+BUCKETS, SHAPES, DIM, NONZERO, WINDOW = 65_536, 1024, 32, 6, 2
+#: Rows of the units: buckets of forms, shapes, repetition.
+SAME, UNITS = BUCKETS + SHAPES, BUCKETS + SHAPES + 1
+#: Words remembered, words that are worked on at once, units of a block.
+CACHE_WORDS, SLICE, BLOCK = 600_000, 100_000, 4096
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 RUNS = ((re.compile(r"[^\W\d_a-z]*[A-Z][^\W\d_a-z]*"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1"))
 
 
 def shape(word: str) -> str:
-    out = word[:64]
+    """Of the whole word. A long one, over eight signs, is told by which signs it has and how many."""
+    core = word if word.isalnum() else word[:-1]
+    if core.isalpha() and core.isascii():  # most words, with a sign behind or none; the patterns say the same of these
+        rest = word[len(core) :]
+        if core.islower():
+            return "a" + rest
+        if core[1:].islower():
+            return "Aa" + rest
     for pattern, sign in RUNS:
-        out = pattern.sub(sign, out)
-    return out[:8]
-
-
-def index_vectors() -> np.ndarray:
-    """The sparse random vector of every unit, from a fixed seed."""
-    r = np.random.default_rng(7)
-    out = np.zeros((UNITS, DIM), np.float32)
-    for row in out:
-        row[r.choice(DIM, NONZERO, replace=False)] = r.choice([-1.0, 1.0], NONZERO) / np.sqrt(NONZERO)
+        word = pattern.sub(sign, word)
+    return word if len(word) <= 8 else f"{len(word).bit_length()}:{''.join(sorted(set(word)))}"
+
+
+def form(word: str) -> str:
+    return word.lower().strip(EDGES)
+
+
+def index_vectors(keys: list[bytes]) -> np.ndarray:
+    """The sparse random vectors (whole numbers) of keys: NONZERO places and signs from two checksums of each."""
+    low = np.fromiter(map(zlib.crc32, keys), np.uint64, len(keys))
+    high = np.fromiter((zlib.crc32(k, 0x9E3779B9) for k in keys), np.uint64, len(keys))
+    bits = low | high << np.uint64(32)
+    with np.errstate(over="ignore"):
+        bits = (bits ^ (bits >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        bits ^= bits >> np.uint64(32)
+    out, row = np.zeros((len(keys), DIM), np.int16), np.arange(len(keys))
+    for k in range(NONZERO):
+        some = bits >> np.uint64(7 * k)
+        out[row, (some % np.uint64(DIM)).astype(np.int64)] += np.where((some >> np.uint64(6)) & np.uint64(1), 1, -1).astype(np.int16)
     return out
 
 
 class Units:
-    """Word bucket and shape bucket of words, remembered."""
+    """Rows and index vectors of words, remembered."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def code(self, word: str) -> int:
-        w = word.lower().strip(EDGES)
-        return (zlib.crc32(w.encode()) % WORDS) * SHAPES + zlib.crc32(shape(word).encode()) % SHAPES
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word units, shape units, and where a word repeats the one before."""
-        words, known = text.split(), self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.code(w)
-        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        same = np.zeros(len(words), bool)
-        same[1:] = codes[1:] == codes[:-1]
-        return codes // SHAPES, WORDS + codes % SHAPES, same
-
-
-def gathered(ids: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
-    """out[ids] += values, rows of one id added up first."""
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-    out[ids[order][first]] += np.add.reduceat(values[order], first, axis=0)
+        self.slots: dict[str, int] = {}
+        self.form, self.look, self.index = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros((1024, DIM), np.int16)
+        self.looks: dict[str, int] = {}
+        self.look_rows, self.look_index = np.zeros(0, np.int32), np.zeros((0, DIM), np.int16)
+        self.same = index_vectors([b"\x00same"])[0]
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers these different new words."""
+        begin = len(self.slots)
+        end = begin + len(words)
+        if end > len(self.form):
+            room = max(end, 2 * len(self.form))
+            self.form, self.look, self.index = (np.concatenate([x, np.zeros((room - len(x), *x.shape[1:]), x.dtype)]) for x in (self.form, self.look, self.index))
+        forms, looks = [form(w).encode() for w in words], list(map(shape, words))
+        unseen = list(set(looks).difference(self.looks))
+        self.looks.update(zip(unseen, range(len(self.looks), len(self.looks) + len(unseen))))
+        keys = [b"\x00" + f.encode() for f in unseen]
+        self.look_rows = np.concatenate([self.look_rows, np.array([BUCKETS + zlib.crc32(k) % SHAPES for k in keys], np.int32)])
+        self.look_index = np.concatenate([self.look_index, index_vectors(keys)])
+        self.form[begin:end] = np.fromiter(map(zlib.crc32, forms), np.int64, len(forms)) % BUCKETS
+        self.look[begin:end] = list(map(self.looks.__getitem__, looks))
+        self.index[begin:end] = index_vectors(forms)
+        self.slots.update(zip(words, range(begin, end)))
+
+    def batches(self, some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of texts: the number of words of each, each word's slot, and where a word repeats the one before in its text.
+        A text of more words than SLICE is alone in its run."""
+        i = 0
+        while i < len(some):
+            lists, held = [], 0
+            while i < len(some) and (not held or held + len(some[i]) // 4 < SLICE):
+                lists.append(some[i].split())
+                held += len(lists[-1])
+                i += 1
+            words = [w for own in lists for w in own]
+            new = set(words).difference(self.slots)
+            if new and len(self.slots) > CACHE_WORDS:
+                self.__init__()
+                new = set(words)
+            if new:
+                self.learn(list(new))
+            slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+            kind = self.form[slots].astype(np.int64) << 32 | self.look[slots]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            same = np.zeros(len(slots), bool)
+            same[1:] = kind[1:] == kind[:-1]
+            same[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+            yield sizes, slots, same
+
+
+def contexts(sizes: np.ndarray, slots: np.ndarray, same: np.ndarray, units: Units) -> np.ndarray:
+    """For each word the sum of the index vectors around it, in its own text."""
+    own = units.index.take(slots, axis=0, mode="clip")
+    own += units.look_index.take(units.look[slots], axis=0, mode="clip")
+    own[same] += units.same
+    at = np.arange(WINDOW, len(slots) + WINDOW) + np.repeat(np.arange(len(sizes)) * WINDOW, sizes)  # gaps between texts
+    wide = np.zeros((len(slots) + WINDOW * (len(sizes) + 1), DIM), np.int16)
+    wide[at] = own
+    around = np.zeros_like(wide)
+    for k in range(1, WINDOW + 1):
+        around[k:] += wide[:-k]
+        around[:-k] += wide[k:]
+    return around.take(at, axis=0, mode="clip")
+
+
+def added_up(sums: np.ndarray, sizes: np.ndarray, slots: np.ndarray, same: np.ndarray, units: Units) -> None:
+    """Adds the context vectors of these words to sums, DIM x UNITS."""
+    around = np.ascontiguousarray(contexts(sizes, slots, same, units).T)
+    rows, looks = np.unique(units.form[slots], return_inverse=True), units.look[slots]
+    for d in range(DIM):
+        weights = around[d].astype(np.float64)
+        sums[d, rows[0]] += np.bincount(rows[1], weights=weights)
+        of_looks = np.bincount(looks, weights=weights, minlength=len(units.looks))
+        sums[d, BUCKETS:SAME] += np.bincount(units.look_rows - BUCKETS, weights=of_looks, minlength=SHAPES)
+    sums[:, SAME] += around[:, same].sum(axis=1)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """UNITS x DIM: random indexing over all documents. A table of fixed size reaches the driver."""
+    """UNITS x DIM context vectors, of length 1 or 0: random indexing over all documents. A table of fixed size reaches the driver."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, units = index_vectors(), Units()
-        sums = np.zeros((UNITS, DIM))
-
-        def add(w: np.ndarray, s: np.ndarray, same: np.ndarray) -> None:
-            for i in range(0, len(w), SLICE):
-                at = slice(i, i + SLICE)
-                own = index[w[at]] + index[s[at]]
-                own[same[at]] += index[SAME]
-                around = np.zeros_like(own)
-                for k in range(1, WINDOW + 1):
-                    around[k:] += own[:-k]
-                    around[:-k] += own[k:]
-                gathered(w[at], around, sums)
-                gathered(s[at], around, sums)
-                if same[at].any():
-                    sums[SAME] += around[same[at]].sum(axis=0)
-
+        keep_heap()
+        units, sums = Units(), np.zeros((DIM, UNITS))
         for b in batches:
-            some, n = [], 0
-            for text in b.column(1).to_pylist():
-                got = units.of(text)
-                if len(got[0]):
-                    some.append(got)
-                    n += len(got[0])
-                if n >= SLICE:
-                    add(*(np.concatenate(c) for c in zip(*some)))
-                    some, n = [], 0
-            if some:
-                add(*(np.concatenate(c) for c in zip(*some)))
-        met = np.flatnonzero(np.abs(sums).sum(axis=1))
-        if len(met):
-            yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(list(sums[met]), pa.list_(pa.float64()))], names=["unit", "v"])
-
-    parts = texts(docs).mapInArrow(run, "unit int, v array<double>")
-    total = parts.groupBy("unit").agg(*(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIM)))
-    out = np.zeros((UNITS, DIM))
-    for row in total.collect():  # UNITS rows at most
-        out[row[0]] = row[1:]
+            for sizes, slots, same in units.batches(b.column(1).to_pylist()):
+                if len(slots):
+                    added_up(sums, sizes, slots, same, units)
+        whole = sums.T.astype(np.int64)
+        met = np.flatnonzero(np.abs(whole).sum(axis=1))
+        for block in np.unique(met // BLOCK).tolist():
+            at = met[met // BLOCK == block]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([whole[at].astype("<i8").tobytes()], pa.binary())], names=["block", "at", "v"])
+
+    def added(key, rows):
+        out = np.zeros((BLOCK, DIM), np.int64)
+        for r in rows.select(["at", "v"]).to_pylist():
+            out[np.frombuffer(r["at"], "<i4") % BLOCK] += np.frombuffer(r["v"], "<i8").reshape(-1, DIM)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([b""], pa.binary()), "v": pa.array([out.tobytes()], pa.binary())})
+
+    parts = texts(docs).mapInArrow(run, "block int, at binary, v binary")
+    total = parts.groupBy("block").applyInArrow(added, "block int, at binary, v binary")
+    out = np.zeros((-(-UNITS // BLOCK) * BLOCK, DIM))
+    for row in total.collect():  # the units, in blocks
+        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.v, "<i8").reshape(-1, DIM)
     length = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(length > 0, length, 1) + index_vectors()).astype(np.float32)
-
-
-def pooled(text: str, vectors: np.ndarray, units: Units) -> np.ndarray:
-    """2 * DIM numbers: the mean of the words' vectors, and of the shapes' with repetition."""
-    w, s, same = units.of(text)
-    if not len(w):
-        return np.zeros(2 * DIM, np.float32)
-    words = np.bincount(w, minlength=WORDS)
-    shapes = np.bincount(s - WORDS, minlength=SHAPES)
-    a, b = np.flatnonzero(words), np.flatnonzero(shapes)
-    left = words[a] @ vectors[a]
-    right = shapes[b] @ vectors[WORDS + b] + same.sum() * 3.0 * vectors[SAME]
-    return np.concatenate([left, right]).astype(np.float32) / len(w)
+    return (out / np.where(length > 0, length, 1)).astype(np.float32)[:UNITS]
+
+
+def pooled(some: list[str], vectors: np.ndarray, units: Units) -> np.ndarray:
+    """2 * DIM numbers a text: the mean of the words' vectors, and of the shapes' with repetition."""
+    out = [np.zeros((0, 2 * DIM), np.float32)]
+    scale = np.float32(1 / np.sqrt(NONZERO))
+    again = 3.0 * (vectors[SAME] + units.same * scale)
+    for sizes, slots, same in units.batches(some):
+        x, full = np.zeros((len(sizes), 2 * DIM), np.float32), np.flatnonzero(sizes)
+        if len(full):
+            each = np.empty((len(slots), 2 * DIM), np.float32)
+            each[:, :DIM] = vectors.take(units.form[slots], axis=0, mode="clip")
+            each[:, :DIM] += units.index.take(slots, axis=0, mode="clip") * scale
+            looks = vectors[units.look_rows] + units.look_index * scale
+            each[:, DIM:] = looks.take(units.look[slots], axis=0, mode="clip")
+            each[same, DIM:] += again.astype(np.float32)
+            x[full] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[full], axis=0) / sizes[full, None]
+        out.append(x)
+    return np.concatenate(out)
 
 
 @dataclass
@@ -204,8 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "quali
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units()
         for b in batches:
-            x = [pooled(t, vectors, units) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), b.column(1), b.column(2)], names=["x", "label", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(pooled(b.column(0).to_pylist(), vectors, units)), pa.list_(pa.float32())), b.column(1), b.column(2)], names=["x", "label", "doc_id"])
 
     rows = sorted(written(sample.mapInArrow(run, "x array<float>, label int, doc_id long"), "quality-sample").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))  # 2 * per_class at most
     y = np.array([r.label for r in rows], float)
@@ -224,15 +286,16 @@ def quality(docs: DataFrame, vectors: np.ndarray, network: Network, keep: Callab
     if keep:
 
         def scores():
+            keep_heap()
             units = Units()
-            return lambda some: network.probability(np.array([pooled(t, vectors, units) for t in some]).reshape(-1, 2 * DIM)).tolist()
+            return lambda some: network.probability(pooled(some, vectors, units)).tolist()
 
         return filtered(docs, scores, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         units = Units()
         for b in batches:
-            x = np.array([pooled(t, vectors, units) for t in b.column(1).to_pylist()]).reshape(-1, 2 * DIM)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.probability(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.probability(pooled(b.column(1).to_pylist(), vectors, units)), pa.float64())], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import lm
 from quarry.llm.bytewords import split, word_ids
 from quarry.llm.common import crc_mod
+from quarry.llm import quality as Q
 from quarry.llm.quality import fit as fit_quality
 from quarry.llm.quality import quality, shape
 from quarry.llm.toxicity import Model, segments
@@ -97,7 +98,8 @@ def test_quality(spark):
     docs, _ = corpus(spark)
     junk = [(40_000 + i, " ".join(f"BUY{chr(65 + (i * k) % 26)}!!" for k in range(1, 40)) if i % 2 else "again " * 60) for i in range(150)]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(junk, "doc_id long, text string")).withColumn("label", F.lit(1))
-    labels = spark.createDataFrame([(10_000 + i, 1) for i in range(300)] + [(k, 0) for k, _ in junk], "doc_id long, quality int")
+    labels = spark.createDataFrame([(10_000 + i, 1) for i in range(300)] + [(k, 0) for k, _ in junk] + [(None, 1), (40_000, 0), (40_001, None)], "doc_id long, quality int")
+    docs = docs.unionByName(docs.where("doc_id in (10000, 40000)"))
     held = crc_mod(F.col("doc_id"), 4) == 2
     vectors, network = fit_quality(docs, labels, ~held)
     got = quality(docs, vectors, network).collect()
@@ -112,7 +114,49 @@ def test_quality(spark):
 
 
 def test_shapes():
-    assert [shape(w) for w in ("The", "THE!!", "the%%%", "|", "a1,", "Él")] == ["Aa", "A!", "a%", "|", "a9,", "a"]
+    assert [shape(w) for w in ("The", "THE!!", "the%%%", "|", "a1,", "Él", "WORD", "aB", "x.")] == ["Aa", "A!", "a%", "|", "a9,", "a", "A", "aA", "a."]
+    blob = "aB3-" * 500
+    assert shape(blob) == shape("aB3-" * 511) != shape(blob[:-1] + "%") and shape(blob[:64]) != shape(blob)
+
+
+def test_word_vectors_and_pooling_against_brute_force(spark):
+    texts = ["The the cat, sat", "", "cat CAT cat", "one", "  sat on\tthe mat! " * 3, "the cat, sat"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+    vectors = Q.word_vectors(docs.repartition(1))
+    assert (vectors == Q.word_vectors(docs.orderBy(F.desc("doc_id")).repartition(5))).all()  # exact, whatever the order
+    bucket = lambda w: zlib.crc32(Q.form(w).encode()) % Q.BUCKETS
+    look = lambda w: Q.BUCKETS + zlib.crc32(b"\x00" + shape(w).encode()) % Q.SHAPES
+    index = lambda w: Q.index_vectors([Q.form(w).encode()])[0].astype(int)
+    seen = lambda w: Q.index_vectors([b"\x00" + shape(w).encode()])[0].astype(int)
+    again = Q.index_vectors([b"\x00same"])[0].astype(int)
+    sums = {}
+    for t in texts:
+        w = t.split()
+        same = [i > 0 and (bucket(w[i]), shape(w[i])) == (bucket(w[i - 1]), shape(w[i - 1])) for i in range(len(w))]
+        own = [index(x) + seen(x) + (again if s else 0) for x, s in zip(w, same)]
+        for i, x in enumerate(w):
+            around = sum((own[j] for j in range(max(0, i - Q.WINDOW), min(len(w), i + Q.WINDOW + 1)) if j != i), np.zeros(Q.DIM, int))
+            for unit in [bucket(x), look(x)] + [Q.SAME] * same[i]:
+                sums[unit] = sums.get(unit, 0) + around
+    for unit in range(Q.UNITS):
+        if unit in sums and np.abs(sums[unit]).sum():
+            assert np.allclose(vectors[unit], sums[unit] / np.linalg.norm(sums[unit]), atol=1e-6)
+    got = Q.pooled(texts, vectors, Q.Units())
+    for t, x in zip(texts, got):
+        w, scale = t.split(), 1 / np.sqrt(Q.NONZERO)
+        same = [i > 0 and (bucket(w[i]), shape(w[i])) == (bucket(w[i - 1]), shape(w[i - 1])) for i in range(len(w))]
+        left = sum((vectors[bucket(y)] + index(y) * scale for y in w), np.zeros(Q.DIM)) / max(1, len(w))
+        right = sum((vectors[look(y)] + seen(y) * scale + (3 * (vectors[Q.SAME] + again * scale) if s else 0) for y, s in zip(w, same)), np.zeros(Q.DIM)) / max(1, len(w))
+        assert np.allclose(x, np.concatenate([left, right]), atol=1e-5)
+
+
+def test_network_against_a_slow_version():
+    r = np.random.default_rng(4)
+    net = Q.Network(r.normal(size=3), r.random(3) + 1, r.normal(size=(3, 2)), r.normal(size=2), r.normal(size=2), 0.3, 1.7)
+    x = r.normal(size=(5, 3))
+    for row, p in zip(x, net.probability(x)):
+        hidden = [math.tanh(sum((row[i] - net.mean[i]) / net.spread[i] * net.w1[i, k] for i in range(3)) + net.b1[k]) for k in range(2)]
+        assert math.isclose(p, 1 / (1 + math.exp(-(hidden[0] * net.w2[0] + hidden[1] * net.w2[1] + 0.3) / 1.7)), rel_tol=1e-9)
 
 
 def test_language_model(spark):
