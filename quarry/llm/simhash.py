@@ -90,7 +90,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         raise ValueError("lists are bounded for 2 differing bits at most")
     masks = [sum(0xFF << (8 * p) for p in c) for c in choices]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posted = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for k, m in enumerate(signed)))).alias("p"))
+    posted = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("fp", F.explode(F.array(*(F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for k, m in enumerate(signed)))).alias("p"))
     lists = posted.groupBy("p.k", "p.shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
