@@ -38,7 +38,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that pairs of 0.8 or more of their 5-word shingles make."""
+    """The document with the smallest doc_id of each group that pairs of 0.8 or more of their 5-word shingles make.
+
+    Pairs come from operator 5's fingerprints first, from a join of the shingle sets where these do not reach.
+    """
     from quarry.llm.near import keep_one_near
 
     return keep_one_near(docs)

@@ -1,6 +1,11 @@
 """Near copies in the pipeline: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact, up to 64-bit hashes of shingles and sets. Documents of equal sets are one node. Shingles
+First by SimHash: operator 5's fingerprints of 5-word shingles are posted under each choice of 3 of their 8
+positional bytes, so those within 5 bits meet for certain and wider ones often. A list compares its members,
+in order, with the one before and with the first; pairs within 12 bits are verified on the whole sets.
+
+Pairs of similarity 0.8 differ by some 10 bits of 64, up to more than an index can guarantee, so a set join
+completes the components. It is exact, up to 64-bit hashes of shingles and sets. Documents of equal sets are one node. Shingles
 have one global order, frequent ones (seen often in a sample) last; two sets of similarity 0.8 meet in the
 first n - ceil(0.8 n) + 1 shingles of both, so nodes are posted under these only. A short list gives all its
 pairs that size and position allow. A long one, which a large group of near copies makes, is first tried
@@ -16,16 +21,21 @@ words (null ones too) have equal sets; of a group the smallest doc_id stays, nul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, forget, written
 from quarry.llm.components import connected
+from quarry.llm.simhash import fingerprint
 
 WORDS = 5
+#: Positional bytes that fingerprints share to meet, bits that they differ by at most to be verified.
+SHARED, APART = 3, 12
 #: Documents of the sample, how many of them make a shingle frequent, frequent shingles at most.
 SAMPLE, OFTEN, FREQUENT = 5000, 4, 65_536
 #: Members of a list that gives all pairs at once; members that longer lists are tried against; nodes that are broadcast.
@@ -78,7 +88,7 @@ def frequent(numbered: DataFrame) -> dict[int, int]:
 
 
 def prefixes(numbered: DataFrame, order: dict[int, int]) -> DataFrame:
-    """rid, doc_id, node (hash of the set), n, sketch, first (the shingles it is posted under) of every row."""
+    """rid, doc_id, node (hash of the set), n, sketch, fp, first (the shingles it is posted under) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -86,21 +96,32 @@ def prefixes(numbered: DataFrame, order: dict[int, int]) -> DataFrame:
         known = np.array(sorted(order), np.int64)
         places = np.array([order[s] for s in sorted(order)], np.int64)
         for b in batches:
-            nodes, sizes, sketches, first = [], [], [], []
+            nodes, sizes, sketches, fps, first = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingle_set(t)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - 2**63)
                 sizes.append(len(s))
                 sketches.append(sketch(s))
+                fps.append(fingerprint(t or "", WORDS))
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, places[at], -1)
                     s = s[np.lexsort((s, rank))]
                 # a set of one shingle is similar to an equal set only, which is the same node
                 first.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1] if len(s) > 1 else s[:0])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["rid", "doc_id", "node", "n", "sketch", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(fps, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["rid", "doc_id", "node", "n", "sketch", "fp", "first"])
+
+    return numbered.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, node long, n int, sketch binary, fp long, first array<long>")
+
 
-    return numbered.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, node long, n int, sketch binary, first array<long>")
+def fingerprint_pairs(reps: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes that share SHARED bytes of their fingerprints and differ by APART bits at most, some of a list's."""
+    masks = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), SHARED)]
+    keys = F.array(*(F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("shared")) for k, m in enumerate(masks)))
+    dealt = reps.where("n > 1").select("node", "fp").repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lists = dealt.select("node", "fp", F.explode(keys).alias("p")).groupBy("p.k", "p.shared").agg(F.sort_array(F.collect_list(F.struct("fp", "node"))).alias("m")).where("size(m) > 1")
+    met = lists.select(F.expr("explode(concat(transform(sequence(1, size(m) - 1), i -> struct(m[i - 1] as x, m[i] as y)), transform(sequence(1, size(m) - 1), i -> struct(m[0] as x, m[i] as y)))) as p"))
+    return met.where(F.bit_count(F.col("p.x.fp").bitwiseXOR(F.col("p.y.fp"))) <= APART).select(F.least("p.x.node", "p.y.node").alias("a"), F.greatest("p.x.node", "p.y.node").alias("b")).distinct()
 
 
 def short_pairs(which: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -138,12 +159,11 @@ def long_pairs(node: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndar
 
 
 def candidates(lists: DataFrame, tried: int) -> DataFrame:
-    """a, b: pairs of nodes to be verified, each once. lists: members of (node, n, place), and root where known."""
+    """a, b: pairs of nodes to be verified, each once. lists: members of (node, n, place, root), root null without links."""
 
     def pairs(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         m = column.flatten()
-        node, n, place = (m.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("node", "n", "place"))
-        root = m.field("root").to_numpy(zero_copy_only=False) if m.type.num_fields > 3 else node
+        node, n, place, root = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (m.field("node"), m.field("n"), m.field("place"), pc.coalesce(m.field("root"), m.field("node"))))
         sizes = column.value_lengths().to_numpy(zero_copy_only=False)
         which, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
         short = (sizes <= SHORT)[which]
@@ -207,12 +227,16 @@ def near_groups(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (rid, doc_id, node) of every row of numbered (rid, doc_id, text), and roots (node, root) of nodes that have links."""
     bounded_batches(numbered.sparkSession)
     rows = written(prefixes(numbered, frequent(numbered)), "near-rows")
-    reps = written(rows.groupBy("node").agg(F.min(F.struct("rid", "n", "sketch")).alias("x")).select("node", "x.*"), "near-nodes")
+    reps = written(rows.groupBy("node").agg(F.min(F.struct("rid", "n", "sketch", "fp")).alias("x")).select("node", "x.*"), "near-nodes")
+    prints = written(fingerprint_pairs(reps), "near-prints")
+    roots = connected(verified(prints, numbered, reps))
     once = rows.groupBy("node").agg(F.min(F.struct("rid", "n", "first")).alias("x"))
-    posted = once.select("node", "x.n", F.posexplode("x.first").alias("place", "s"))
-    lists = written(posted.groupBy("s").agg(F.collect_list(F.struct("node", "n", "place")).alias("members")).where(F.size("members") > 1), "near-lists")
-    pairs = written(candidates(lists, 0), "near-pairs")
-    roots = connected(verified(pairs, numbered, reps))
+    posted = once.join(roots, "node", "left").select("node", "x.n", "root", F.posexplode("x.first").alias("place", "s"))
+    lists = written(posted.groupBy("s").agg(F.collect_list(F.struct("node", "n", "place", "root")).alias("members")).where(F.size("members") > 1), "near-lists")
+    more = written(candidates(lists, 0).join(prints, ["a", "b"], "left_anti"), "near-pairs")
+    pairs = prints.unionByName(more)
+    if not more.isEmpty():
+        roots = merged(roots, verified(more, numbered, reps))
     longer = lists.where(F.size("members") > SHORT)
     for tried in [*range(1, TRIES), -1]:
         if longer.isEmpty():
