@@ -7,12 +7,15 @@ in order, with the one before and with the first; pairs within 12 bits are verif
 Pairs of similarity 0.8 differ by some 10 bits of 64, up to more than an index can guarantee, so a set join
 completes the components. It is exact, up to 64-bit hashes of shingles and sets. Documents of equal sets are one node. Shingles
 have one global order, frequent ones (seen often in a sample) last; two sets of similarity 0.8 meet in the
-first n - ceil(0.8 n) + 1 shingles of both, so nodes are posted under these only. A short list gives all its
-pairs that size and position allow. A long one, which a large group of near copies makes, is first tried
-against a few members, and then gives the pairs whose members are not in one component yet: what is
-left out cannot change a component. Pairs are first compared by parity sketches, a bit for each bucket of
-hashes: odd buckets in which two sets differ hold different members, so too many of them rule a pair out
-for certain. What remains is verified on the whole sets.
+first n - ceil(0.8 n) + 1 shingles of both, so nodes are posted under these only. A list is not expanded into
+its pairs: member by member, in the order of nodes so that lists of one group begin alike, it gives the pairs with
+the members after, as far as size and position allow them, until they pass a number in proportion to its length.
+These are verified, components grow, and in the next round the list goes on from there, four times as far, with
+the pairs only whose members are not in one component yet: what is left out cannot change a component. A group
+of near copies is thus joined by a few pairs a member; a list ends when it is one component or all was given.
+Pairs are first compared by parity sketches, a bit for each bucket of hashes: odd buckets in which two sets
+differ hold different members, so too many of them rule a pair out for certain. What remains is verified on the
+whole sets.
 
 Defined results: words as in operator 5; a text of fewer words than a shingle is one shingle; texts without
 words (null ones too) have equal sets; of a group the smallest doc_id stays, null keys last, then by row.
@@ -38,8 +41,8 @@ WORDS = 5
 SHARED, APART = 3, 12
 #: Documents of the sample, how many of them make a shingle frequent, frequent shingles at most.
 SAMPLE, OFTEN, FREQUENT = 5000, 4, 65_536
-#: Members of a list that gives all pairs at once; members that longer lists are tried against; nodes that are broadcast.
-SHORT, TRIES, LOOKED_UP = 32, 3, 200_000
+#: Members of a list that gives all pairs at once; nodes that are broadcast.
+SHORT, LOOKED_UP = 3, 200_000
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -139,43 +142,45 @@ def short_pairs(which: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.nd
         yield np.minimum(node[i], node[j])[fits], np.maximum(node[i], node[j])[fits]
 
 
-def long_pairs(node: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, tried: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same for one longer list: those with one member of each class of sizes while tried is not negative, then all."""
+def long_pairs(node: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, at: int, tried: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same for one longer list, from its member number at on, until half its length by 4 ** tried is passed: next at, pairs."""
     order = np.lexsort((node, n))
     node, n, place, root = node[order], n[order], place[order], root[order]
-    starts = range(len(node))
-    if tried >= 0:
-        starts, at = [], 0
-        while at < len(node):
-            end = int(np.searchsorted(n, n[at] * 5 // 4, "right"))
-            starts.append(at + tried % (end - at))
-            at = end
-    for i in starts:
-        js = np.arange(0 if tried >= 0 else i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
-        most = np.minimum(n[i] - place[i], n[js] - place[js])  # where a pair meets first, it has no more in common
-        js = js[(js != i) & (root[js] != root[i]) & similar(n[i], n[js], most)]
-        if len(js):
-            yield np.minimum(node[i], node[js]), np.maximum(node[i], node[js])
+    low, high = np.searchsorted(n, -(-4 * n // 5)), np.searchsorted(n, n * 5 // 4, "right")
+    given, most = 0, len(node) * 4**tried // 2
+    for k, i in enumerate(np.argsort(node)[at:].tolist(), at + 1):
+        js = np.arange(low[i], high[i])
+        common = np.minimum(n[i] - place[i], n[js] - place[js])  # where a pair meets first, it has no more in common
+        js = js[(node[js] > node[i]) & (root[js] != root[i]) & similar(n[i], n[js], common)]
+        yield k, np.full(len(js), node[i]), node[js]
+        given += len(js)
+        if given >= most:
+            return
+
+
+def columns(members: pa.StructArray) -> list[np.ndarray]:
+    """node, n, place, root of members, the node itself for a null root."""
+    return [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (members.field("node"), members.field("n"), members.field("place"), pc.coalesce(members.field("root"), members.field("node")))]
 
 
 def candidates(lists: DataFrame, tried: int) -> DataFrame:
-    """a, b: pairs of nodes to be verified, each once. lists: members of (node, n, place, root), root null without links."""
+    """a, b: pairs of nodes to be verified, each once. lists: s, members of (node, n, place, root), root null without links, at."""
 
-    def pairs(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = column.flatten()
-        node, n, place, root = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (m.field("node"), m.field("n"), m.field("place"), pc.coalesce(m.field("root"), m.field("node"))))
+    def pairs(column: pa.ListArray, ats: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node, n, place, root = columns(column.flatten())
         sizes = column.value_lengths().to_numpy(zero_copy_only=False)
         which, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
         short = (sizes <= SHORT)[which]
         yield from short_pairs(*(x[short] for x in (which, node, n, place, root)))
         for k in np.flatnonzero(sizes > SHORT):
             own = slice(ends[k] - sizes[k], ends[k])
-            yield from long_pairs(node[own], n[own], place[own], root[own], tried)
+            for _, a, b in long_pairs(node[own], n[own], place[own], root[own], ats[k], tried):
+                yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, held = [], [], 0
         for batch in batches:
-            for a, b in pairs(batch.column(0)):
+            for a, b in pairs(batch.column(0), batch.column(1).to_pylist()):
                 a_out.append(a)
                 b_out.append(b)
                 held += len(a)
@@ -185,7 +190,23 @@ def candidates(lists: DataFrame, tried: int) -> DataFrame:
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
 
-    return lists.select("members").mapInArrow(run, "a long, b long").distinct()
+    return lists.select("members", "at").mapInArrow(run, "a long, b long").distinct()
+
+
+def unfinished(lists: DataFrame, tried: int) -> DataFrame:
+    """The lists that candidates() has left members of, at the member where they go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ats = []
+            for members, at in zip(batch.column(1), batch.column(2).to_pylist()):
+                for at, _, _ in long_pairs(*columns(members.values), at, tried):
+                    pass
+                ats.append(at)
+            more = [at + 1 < len(m) for at, m in zip(ats, batch.column(1))]  # the last member has none after it
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ats, pa.int32())], names=["s", "members", "at"]).filter(pa.array(more, pa.bool_()))
+
+    return lists.where(F.size("members") > SHORT).select("s", "members", "at").mapInArrow(run, lists.select("s", "members", "at").schema)
 
 
 def verified(pairs: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame:
@@ -232,23 +253,19 @@ def near_groups(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = connected(verified(prints, numbered, reps))
     once = rows.groupBy("node").agg(F.min(F.struct("rid", "n", "first")).alias("x"))
     posted = once.join(roots, "node", "left").select("node", "x.n", "root", F.posexplode("x.first").alias("place", "s"))
-    lists = written(posted.groupBy("s").agg(F.collect_list(F.struct("node", "n", "place", "root")).alias("members")).where(F.size("members") > 1), "near-lists")
-    more = written(candidates(lists, 0).join(prints, ["a", "b"], "left_anti"), "near-pairs")
-    pairs = prints.unionByName(more)
-    if not more.isEmpty():
-        roots = merged(roots, verified(more, numbered, reps))
-    longer = lists.where(F.size("members") > SHORT)
-    for tried in [*range(1, TRIES), -1]:
-        if longer.isEmpty():
-            break
-        flat = longer.select("s", F.explode("members").alias("m")).select("s", "m.node", "m.n", "m.place")
-        labelled = flat.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        longer = labelled.groupBy("s").agg(F.collect_list(F.struct("node", "n", "place", "root")).alias("members"))
-        longer = written(longer.where(F.size(F.array_distinct(F.col("members.root"))) > 1), "near-longer")
-        more = written(candidates(longer, tried).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    members = F.collect_list(F.struct("node", "n", "place", "root")).alias("members")
+    lists = written(posted.groupBy("s").agg(members).where(F.size("members") > 1).withColumn("at", F.lit(0)), "near-lists")
+    pairs, tried = prints, 0
+    while not lists.isEmpty():
+        more = written(candidates(lists, tried).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
         if not more.isEmpty():
             pairs = pairs.unionByName(more)
             roots = merged(roots, verified(more, numbered, reps))
+        flat = unfinished(lists, tried).select("s", "at", F.explode("members").alias("m")).select("s", "at", "m.node", "m.n", "m.place")
+        now = flat.join(roots, "node", "left").groupBy("s", "at").agg(members)
+        own = F.transform("members", lambda m: F.coalesce(m["root"], m["node"]))
+        old, lists, tried = lists, written(now.where(F.size(F.array_distinct(own)) > 1), "near-lists"), tried + 1
+        forget(old)
     return rows.select("rid", "doc_id", "node"), roots
 
 
