@@ -13,6 +13,9 @@ the members after, as far as size and position allow them, until they pass a num
 These are verified, components grow, and in the next round the list goes on from there, four times as far, with
 the pairs only whose members are not in one component yet: what is left out cannot change a component. A group
 of near copies is thus joined by a few pairs a member; a list ends when it is one component or all was given.
+Texts that share much with a large group but are similar to none of it would still be tried against every
+member. So before long lists go on, the whole sets of their members are laid side by side, in one pass: what of a
+set stands in no other component there is in common with no partner, and sets with too much of that leave.
 Pairs are first compared by parity sketches, a bit for each bucket of hashes: odd buckets in which two sets
 differ hold different members, so too many of them rule a pair out for certain. What remains is verified on the
 whole sets.
@@ -39,10 +42,14 @@ from quarry.llm.simhash import fingerprint
 WORDS = 5
 #: Positional bytes that fingerprints share to meet, bits that they differ by at most to be verified.
 SHARED, APART = 3, 12
-#: Documents of the sample, how many of them make a shingle frequent, frequent shingles at most.
-SAMPLE, OFTEN, FREQUENT = 5000, 4, 65_536
+#: Documents of the sample at least, and one in so many; how many of them make a shingle frequent, frequent shingles at most.
+SAMPLE, SHARE, OFTEN, FREQUENT = 5000, 8, 4, 262_144
 #: Members of a list that gives all pairs at once; nodes that are broadcast.
 SHORT, LOOKED_UP = 3, 200_000
+#: Members of a list that is not narrowed.
+LONG = 16
+#: Rounds after which a list has given every pair, whatever its length.
+ALL = 31
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -77,8 +84,8 @@ def differences(a: bytes, b: bytes) -> int:
 
 
 def frequent(numbered: DataFrame) -> dict[int, int]:
-    """Frequent shingles and their places in the order, from a sample of bounded size."""
-    share = max(1, numbered.count() // SAMPLE)
+    """Frequent shingles and their places in the order, from a sample that grows with the table: lists of others stay short."""
+    share = max(1, min(SHARE, numbered.count() // SAMPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,9 +171,9 @@ def columns(members: pa.StructArray) -> list[np.ndarray]:
 
 
 def candidates(lists: DataFrame, tried: int) -> DataFrame:
-    """a, b: pairs of nodes to be verified, each once. lists: s, members of (node, n, place, root), root null without links, at."""
+    """a, b: pairs of nodes to be verified, each once. lists: s, members of (node, n, place, root), root null without links."""
 
-    def pairs(column: pa.ListArray, ats: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node, n, place, root = columns(column.flatten())
         sizes = column.value_lengths().to_numpy(zero_copy_only=False)
         which, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
@@ -174,13 +181,13 @@ def candidates(lists: DataFrame, tried: int) -> DataFrame:
         yield from short_pairs(*(x[short] for x in (which, node, n, place, root)))
         for k in np.flatnonzero(sizes > SHORT):
             own = slice(ends[k] - sizes[k], ends[k])
-            for _, a, b in long_pairs(node[own], n[own], place[own], root[own], ats[k], tried):
+            for _, a, b in long_pairs(node[own], n[own], place[own], root[own], 0, tried):
                 yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, held = [], [], 0
         for batch in batches:
-            for a, b in pairs(batch.column(0), batch.column(1).to_pylist()):
+            for a, b in pairs(batch.column(0)):
                 a_out.append(a)
                 b_out.append(b)
                 held += len(a)
@@ -190,23 +197,80 @@ def candidates(lists: DataFrame, tried: int) -> DataFrame:
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
 
-    return lists.select("members", "at").mapInArrow(run, "a long, b long").distinct()
+    return lists.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
 def unfinished(lists: DataFrame, tried: int) -> DataFrame:
-    """The lists that candidates() has left members of, at the member where they go on."""
+    """s, node, n, place: the members that lists still have pairs to give of after candidates()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ats = []
-            for members, at in zip(batch.column(1), batch.column(2).to_pylist()):
-                for at, _, _ in long_pairs(*columns(members.values), at, tried):
+            out = [[np.empty(0, np.int64)] for _ in range(4)]
+            for s, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                node, n, place, root = columns(members.values)
+                at = 0
+                for at, _, _ in long_pairs(node, n, place, root, 0, tried):
                     pass
-                ats.append(at)
-            more = [at + 1 < len(m) for at, m in zip(ats, batch.column(1))]  # the last member has none after it
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ats, pa.int32())], names=["s", "members", "at"]).filter(pa.array(more, pa.bool_()))
+                rest = np.argsort(node)[at:]  # those before are no partners of theirs
+                node, n, place, root = (x[rest] for x in (node, n, place, root))
+                left = np.zeros(len(node), bool)
+                for k, _, others in long_pairs(node, n, place, root, 0, ALL):
+                    left[np.searchsorted(node, others)] = True
+                    left[k - 1] |= len(others) > 0
+                for o, x in zip(out, (np.full(len(node), s), node, n, place)):
+                    o.append(x[left])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["s", "node", "n", "place"])
 
-    return lists.where(F.size("members") > SHORT).select("s", "members", "at").mapInArrow(run, lists.select("s", "members", "at").schema)
+    return lists.where(F.size("members") > SHORT).select("s", "members").mapInArrow(run, "s long, node long, n int, place int")
+
+
+def gathered(flat: DataFrame) -> DataFrame:
+    """s, members of flat (s, node, n, place, root), but for lists of one component."""
+    every = flat.groupBy("s").agg(F.collect_list(F.struct("node", "n", "place", "root")).alias("members"))
+    return every.where(F.size(F.array_distinct(F.transform("members", lambda m: F.coalesce(m["root"], m["node"])))) > 1)
+
+
+def sets_of(nodes: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame:
+    """nodes (node and other longs) with s, the whole set."""
+    own = nodes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.list_(pa.int64()))], names=[*own, "s"])
+
+    sought = written(reps.select("rid", "node").join(nodes, "node").select("rid", *own), "near-sought")
+    few = sought.count() <= LOOKED_UP
+    texts = numbered.select("rid", "text").join(F.broadcast(sought) if few else sought, "rid").select("text", *own)
+    sets = written(texts.mapInArrow(run, ", ".join(f"{k} long" for k in own) + ", s array<long>"), "near-sets")
+    forget(sought)
+    return sets
+
+
+def elsewhere(lists: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, most: how many members of its set stand in sets of other components too, of nodes of the lists."""
+    open_ = lists.select(F.explode("members").alias("m")).select("m.node", F.coalesce("m.root", "m.node").alias("root")).distinct()
+    sets = sets_of(open_, numbered, reps)
+    # five bytes of a hash are enough: where two hashes meet, most is only larger
+    each = sets.select("node", "root", F.explode("s").alias("s")).select("node", "root", F.col("s").bitwiseAND((1 << 40) - 1).alias("s"))
+    common = each.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
+    found = written(each.select("node", "s").join(common, "s").groupBy("node").agg(F.count("*").cast("int").alias("most")), "near-elsewhere")
+    forget(sets)
+    return found
+
+
+def narrowed(lists: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame:
+    """The lists; those over LONG without members whose sets hold too much that stands nowhere else, which place counts, too."""
+    long = lists.where(F.size("members") > LONG)
+    if long.isEmpty():
+        return lists
+    most = elsewhere(long, numbered, reps)
+    flat = long.select("s", F.explode("members").alias("m")).select("s", "m.*").join(most, "node")
+    flat = flat.withColumn("place", F.greatest("place", F.col("n") - F.col("most")))
+    fit = flat.where(similar(F.col("n"), F.ceil(F.col("n") * 4 / 5), F.col("n") - F.col("place")))  # with the smallest partner
+    less = written(lists.where(F.size("members") <= LONG).select("s", "members").unionByName(gathered(fit)), "near-lists")
+    forget(lists, most)
+    return less
 
 
 def verified(pairs: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame:
@@ -220,18 +284,11 @@ def verified(pairs: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFram
 
     pairs = written(pairs.join(of["a"], "a").join(of["b"], "b").mapInArrow(likely, "a long, b long"), "near-likely")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
-
-    sought = written(reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("rid", "node"), "near-sought")
-    few = sought.count() <= LOOKED_UP
-    sets = written(numbered.select("rid", "text").join(F.broadcast(sought) if few else sought, "rid").select("node", "text").mapInArrow(run, "node long, s array<long>"), "near-sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), numbered, reps)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     found = written(both.where(similar(F.size("s_a"), F.size("s_b"), common)).select("a", "b"), "near-links")
-    forget(pairs, sought, sets)
+    forget(pairs, sets)
     return found
 
 
@@ -253,19 +310,16 @@ def near_groups(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = connected(verified(prints, numbered, reps))
     once = rows.groupBy("node").agg(F.min(F.struct("rid", "n", "first")).alias("x"))
     posted = once.join(roots, "node", "left").select("node", "x.n", "root", F.posexplode("x.first").alias("place", "s"))
-    members = F.collect_list(F.struct("node", "n", "place", "root")).alias("members")
-    lists = written(posted.groupBy("s").agg(members).where(F.size("members") > 1).withColumn("at", F.lit(0)), "near-lists")
+    lists = written(gathered(posted), "near-lists")
     pairs, tried = prints, 0
     while not lists.isEmpty():
         more = written(candidates(lists, tried).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
         if not more.isEmpty():
             pairs = pairs.unionByName(more)
             roots = merged(roots, verified(more, numbered, reps))
-        flat = unfinished(lists, tried).select("s", "at", F.explode("members").alias("m")).select("s", "at", "m.node", "m.n", "m.place")
-        now = flat.join(roots, "node", "left").groupBy("s", "at").agg(members)
-        own = F.transform("members", lambda m: F.coalesce(m["root"], m["node"]))
-        old, lists, tried = lists, written(now.where(F.size(F.array_distinct(own)) > 1), "near-lists"), tried + 1
-        forget(old)
+        rest = written(gathered(unfinished(lists, tried).join(roots, "node", "left")), "near-lists")
+        forget(lists)
+        lists, tried = narrowed(rest, numbered, reps), tried + 1
     return rows.select("rid", "doc_id", "node"), roots
 
 
