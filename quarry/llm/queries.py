@@ -89,6 +89,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, vectors, network).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,8 +130,25 @@ pairs as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.e
 ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from pairs)
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """
+OP13_SQL = """
+with o as (select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+    order by turn nulls first, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) as s
+  from conversations where conv_id is not null group by conv_id),
+bytes as (select conv_id, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint)) as b from o),
+crc as (select conv_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x:
+    list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 as h from bytes),
+built as (select o.conv_id, list_concat(coalesce(p.s[1:crc.h], []), o.s[crc.h + 1:]) as s from o join crc on o.conv_id = crc.conv_id left join o p on p.conv_id = o.conv_id - o.conv_id % 5),
+members as (select conv_id, d as depth, s[1:d] as k, len(s) = d as ends from (select *, unnest(range(0, len(s) + 1)) as d from built)),
+nodes as (select k, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256 from members group by k, depth),
+kids as (select k[1:depth - 1] as k, count(*) as n from nodes where depth > 0 group by 1),
+under as (select g.k[1:g.j] as k, cast(sum(case when c.n is null then 1 else 0 end) as bigint) as n_leaves,
+    cast(sum((g.n_convs - 1) * case when g.depth > 0 then strlen(g.k[g.depth].t) else 0 end) as bigint) as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as j from nodes) g left join kids c on g.k = c.k group by 1)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children, under.n_leaves, under.saved_tokens, n.ends_sha256
+from nodes n join under on n.k = under.k left join kids on n.k = kids.k left join nodes p on n.depth > 0 and p.depth = n.depth - 1 and p.k = n.k[1:n.depth - 1]
+"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_log_bilinear, op2_toxicity, op3_sentencepiece, op4_decontaminate, op5_simhash, op6_license_scan, op7_top_k, op8_ring_shards, op9_token_files, op10_quality, pipeline)
+    for f in (op1_log_bilinear, op2_toxicity, op3_sentencepiece, op4_decontaminate, op5_simhash, op6_license_scan, op7_top_k, op8_ring_shards, op9_token_files, op10_quality, op12_whitening, op13_prefix_trie, pipeline)
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL}
+ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL, "op13_prefix_trie": OP13_SQL}

@@ -20,6 +20,8 @@ COLUMNS = {
     "op8_ring_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op12_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op13_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
     "pipeline": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
@@ -35,7 +37,7 @@ def test_contract(spark, got, name):
     kinds = [f"{n} {t}" for n, t in df.dtypes]
     assert kinds[: len(COLUMNS[name].split(", "))] == COLUMNS[name].split(", ")
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    if name not in ("op7_top_k", "pipeline"):
+    if name not in ("op7_top_k", "op11_html_extraction", "op12_whitening", "op13_prefix_trie", "pipeline"):
         assert sorted(r.doc_id for r in rows) == sorted(docs)
     for column, n, rest in (("op1_log_bilinear", 7, 2), ("op2_toxicity", 5, 0), ("op10_quality", 4, 2)):
         if name == column:
@@ -58,7 +60,7 @@ def test_contract(spark, got, name):
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_sql(got, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     result = con.execute(queries.ORACLES[name])
     names = [d[0] for d in result.description]
