@@ -89,6 +89,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, vectors, network).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.extract import fit, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, fit(pages))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.whitening import whiten
 
@@ -149,6 +156,6 @@ from nodes n join under on n.k = under.k left join kids on n.k = kids.k left joi
 """
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_log_bilinear, op2_toxicity, op3_sentencepiece, op4_decontaminate, op5_simhash, op6_license_scan, op7_top_k, op8_ring_shards, op9_token_files, op10_quality, op12_whitening, op13_prefix_trie, pipeline)
+    for f in (op1_log_bilinear, op2_toxicity, op3_sentencepiece, op4_decontaminate, op5_simhash, op6_license_scan, op7_top_k, op8_ring_shards, op9_token_files, op10_quality, op11_html_extraction, op12_whitening, op13_prefix_trie, pipeline)
 }
 ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op7_top_k": OP7_SQL, "op13_prefix_trie": OP13_SQL}

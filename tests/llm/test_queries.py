@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_ring_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op12_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
     "op13_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
     "pipeline": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
