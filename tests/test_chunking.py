@@ -8,8 +8,17 @@ from quarry.functions import splitting as S
 from quarry.functions.text import min_chunk_chars
 from quarry.operators.chunking import chunk_documents, lines, section_bounds
 
-NAV = "\n".join(["Grant for Families Buying Flats", "Next steps", "Planning for a Purchase", "Plan your budget for a purchase.", "Finding a Flat", "Find out about the types for sale.", "", "Find out the conditions for families to apply for the grant now or later on in life.", "It helps eligible families to live near their parents or children, if they want to."])
-DENSE = "\n".join(["New, Old, and Open Booking", "Buying", "Excited about getting your own home? We are here to help.", "Visit HDB Flat Portal", "Related topics", "Go to e-Services", "Flat, Grant, and Loan Rules", "Find out whether you may buy, and about grants and loans for it.", "Financial Planning", "Plan your finances and budget for a purchase with cash and savings."])
+#: A guide to beekeeping: three sections of different length, the second under the size of the smallest chunk.
+GUIDE = "Keep bees with patience.\n\nThe hive\nA hive is a stack of boxes. The queen lives in the lowest one, and honey is stored above her.\n\nTools\nA smoker.\n\nThe year of a colony\nIn winter the bees sit tight. In spring they fly out for willow. By midsummer there are sixty thousand of them."
+TITLE = "Ferry timetable"
+
+
+def cards(n, gap=None, after=True):
+    """A page that begins with its title and n cards of two lines; a blank line before card `gap`."""
+    out = [f"{TITLE} and fares", "Next steps"]
+    for i in range(n):
+        out += [""] * (i == gap) + [f"Pier {chr(65 + i)} crossings", f"See when boats leave pier {chr(65 + i)}."]
+    return "\n".join(out + ["", "Winter service", "Boats run every second hour from November on, if the lake does not freeze."] * after)
 
 
 def h(x):
@@ -26,22 +35,53 @@ def test_headings():
     assert all(map(S.is_heading, yes)) and not any(map(S.is_heading, no))
 
 
-def test_sections_keep_their_headings():
-    text = "Eligibility\nYou must satisfy the conditions before applying for it.\n\nRenovation Permit\nYou need approval before you begin with any works."
-    found = S.chunks(text, "Rules", 120, 10)
-    assert [c["section_title"] for c in found] == ["Eligibility", "Renovation Permit"]
-    assert all(text[c["start"] : c["end"]] == c["text"] for c in found)
+def titles(text, title, size, overlap=0):
+    return [(c["section_index"], c["section_title"]) for c in S.chunks(text, title, size, overlap)]
+
+
+def test_each_section_gets_a_chunk_once_it_is_large_enough():
+    own = [(0, "Bees"), (1, "The hive"), (2, "Tools"), (3, "The year of a colony")]
+    assert [(i, n) for i, (n, _) in enumerate(S.sections(GUIDE, "Bees"))] == own
+    assert titles(GUIDE, "Bees", 2000) == [own[3]]  # all fits into one chunk, and the longest section names it
+    small = S.chunks(GUIDE, "Bees", 90, 0)
+    assert {c["section_title"] for c in small} >= {"The hive", "The year of a colony"} and all(len(c["text"]) <= 90 for c in small)
+    assert "".join(GUIDE.split()) == "".join("".join(c["text"] for c in small).split())  # without overlap nothing is lost or repeated
+
+
+def test_a_small_section_goes_with_the_next_one():
+    chunk = next(c for c in S.chunks(GUIDE, "Bees", 130, 13) if "A smoker." in c["text"])
+    assert chunk["text"].startswith("Tools") and len(chunk["text"]) > len("Tools\nA smoker.")
+
+
+@pytest.mark.parametrize("n", [1, 4, 9])
+def test_cards_under_next_steps_are_no_headings(n):
+    found = [name for name, _ in S.sections(cards(n), TITLE)]
+    assert found == [f"{TITLE} and fares", "Winter service"]
+
+
+def test_limits_of_navigation():
+    first = f"{TITLE} and fares"
+    assert [n for n, _ in S.sections(cards(3, after=False), TITLE)] == [first]  # without a blank line all the rest are cards
+    assert [n for n, _ in S.sections(cards(3, gap=0), TITLE)] == [first, "Pier A crossings", "Pier B crossings", "Pier C crossings", "Winter service"]
+    assert [n for n, _ in S.sections(cards(3, gap=2), TITLE)] == [first, "Pier C crossings", "Winter service"]
+    twice = cards(2).replace("Pier B crossings", "NEXT  steps")
+    assert [n for n, _ in S.sections(twice, TITLE)] == [first, "Winter service"]
+    assert "Pier A crossings" in [n for n, _ in S.sections(cards(2), "Tram timetable")]  # the page does not begin with its title
+    late = cards(2).replace("\nNext steps", "".join(f"\nNote {i}" for i in range(6)) + "\nNext steps")
+    assert "Pier A crossings" in [n for n, _ in S.sections(late, TITLE)]  # not among the first lines
 
 
-def test_navigation():
-    assert {c["section_title"] for c in S.chunks(NAV, "Grant", 350, 40)} == {"Grant for Families Buying Flats"}
-    assert len(S.chunks(DENSE, "Buying", 1000, 150)) == 1
+def test_link_lists_fall_together():
+    """Many headings with a line each are joined until a chunk is full, the fixed phrases being none."""
+    text = "\n".join(f"Plot {i}\nThe soil of plot {i} is {'clay' if i % 2 else 'sand'}." for i in range(14)).replace("Plot 3\n", "Related topics\n")
+    assert "Related topics" not in [n for n, _ in S.sections(text, "Soils")] and len(S.sections(text, "Soils")) == 13
+    found = S.chunks(text, "Soils", 180, 20)
+    assert len(found) == 3 and all(45 <= len(c["text"]) <= 200 for c in found)
 
 
 def test_no_heading():
-    text = "This is a normal paragraph. It has full sentences. There are no headings of any kind."
-    assert {c["section_title"] for c in S.chunks(text, "Fallback", 80, 10)} == {"Fallback"}
-    assert {c["section_title"] for c in S.chunks(text, "", 80, 10)} == {"Untitled"}
+    text = "Rain fell all night; by morning the lower fields were under water. Nobody was hurt."
+    assert set(titles(text, "Weather", 40, 5)) == {(0, "Weather")} and set(titles(text, "", 40, 5)) == {(0, "Untitled")}
     assert S.chunks("", "x") == [] and S.chunks(None, None) == []
     with pytest.raises(ValueError):
         S.chunks("x", "y", 10, 20)
@@ -79,7 +119,7 @@ def test_frame(spark):
 
 
 def test_native_agrees_with_spans(spark):
-    texts = [NAV.replace("Next steps", "More"), DENSE, "  Intro text here.\nHead One\n x y.\nHead Two", "No heading.", "\r\n A\r\rB. \n"]
+    texts = [cards(3).replace("Next steps", "More"), GUIDE, "  Intro text here.\nHead One\n x y.\nHead Two", "No heading.", "\r\n A\r\rB. \n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     native = {}
     for r in lines(docs).orderBy("doc_id", "line_no").collect():
