@@ -44,10 +44,8 @@ def expanded(questions: DataFrame, model: Model, n: int = 3) -> DataFrame:
 
 def semantic(chunks: DataFrame, queries: DataFrame, embed: Embedder, k: int) -> DataFrame:
     """query_id, rank, chunk_id, score by vector. chunks has chunk_id and embedding."""
-    keyed = chunks.select(F.xxhash64("chunk_id").alias("vec_id"), "chunk_id", "embedding")
-    asked = embedded(queries.select(F.col("query_id"), "text"), embed, "text").select(F.col("query_id").alias("vec_id"), "embedding")
-    found = vectors.nearest(keyed, asked, k, own=True)
-    return found.join(keyed.select("vec_id", "chunk_id"), "vec_id").select("query_id", "rank", "chunk_id", "score")
+    asked = embedded(queries.select("query_id", "text"), embed, "text")
+    return vectors.nearest(chunks, asked, k, key="chunk_id", own=True, query_key="query_id").withColumnRenamed("vec_id", "chunk_id")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, embed: Embedder, mode: str, model: Model, config: Config = Config()) -> DataFrame:
@@ -57,7 +55,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, embed: Embedder, mode: str
         asked = questions.select("query_id", F.col("standalone_question").alias("text"))
         ranked = semantic(chunks, asked, embed, config.fast_top_k).select("query_id", "rank", "chunk_id")
         return ranked.join(chunks.drop("embedding"), "chunk_id")
-    phrased = expanded(questions, model, config.multi_query_variants).withColumn("_q", F.xxhash64("query_id", "ordinal"))
+    phrased = expanded(questions, model, config.multi_query_variants).withColumn("_q", F.concat_ws(":", "query_id", "ordinal"))
     asked = phrased.select(F.col("_q").alias("query_id"), "text")
     k = config.ensemble_top_k
     sparse = bm25.top_k(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("page_content").alias("text")), asked, k).withColumnRenamed("doc_id", "chunk_id")

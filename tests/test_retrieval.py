@@ -55,6 +55,47 @@ def test_nearest(spark):
         vectors.nearest(df, df, metric="dot")
 
 
+def test_nearest_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 2.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, []), (9, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vectors.nearest(df, df, 5).collect())
+    assert got == [(1, 1, 2, 0.0), (1, 2, 3, -1.0), (2, 1, 1, 0.0), (2, 2, 3, 0.0), (3, 1, 2, 0.0), (3, 2, 1, -1.0), (4, 1, 5, 0.0), (5, 1, 4, 0.0)]
+    named = df.select(F.concat(F.lit("k"), "vec_id").alias("vec_id"), "embedding")
+    assert [(r.query_id, r.vec_id) for r in vectors.nearest(named, df.where("vec_id = 4"), 5, "l2").orderBy("rank").collect()] == [(4, "k4"), (4, "k5")]
+    assert vectors.nearest(df, df.limit(0)).count() == vectors.nearest(df.limit(0), df).count() == 0
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """More queries than go with the code: the same rows, ties included."""
+    rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    one = sorted(map(tuple, vectors.nearest(df, df.where("vec_id < 30"), 4).collect()))
+    monkeypatch.setattr(vectors, "CHUNK", 7)
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    assert sorted(map(tuple, vectors.nearest(df, df.where("vec_id < 30"), 4).collect())) == one and len(one) == 120
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_list_index(spark, tmp_path, metric):
+    """Every row is in a list; recall against brute force, scores exact, and with all lists probed the exact answer."""
+    from quarry.operators.vectors import ListIndex
+
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(10_000, [1.0, 2.0]), (10_001, [1.0, 2.5]), (10_002, None)], "vec_id long, embedding array<float>")
+    both = df.unionByName(odd)
+    ListIndex(spark, f"file://{tmp_path}/lists").build(both, metric)
+    index = ListIndex(spark, f"file://{tmp_path}/lists")
+    assert index.rows().count() == both.where("embedding is not null").count() and len(index.means) == round(math.sqrt(df.count()))
+    asked = both.where("vec_id % 50 = 0")
+    exact = {(r.query_id, r.vec_id): round(r.score, 9) for r in vectors.nearest(both, asked, 10, metric).collect()}
+    found = {(r.query_id, r.vec_id): round(r.score, 9) for r in index.search(asked, 10).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact) and all(exact[p] == found[p] for p in exact.keys() & found.keys())
+    assert {(r.query_id, r.vec_id) for r in index.search(asked, 10, probes=len(index.means)).collect()} == exact.keys()
+    one = index.search(df.where("vec_id = 50"), 3, probes=1)
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "list#" in plan.split("PartitionFilters: [")[-1].split("]")[0]
+
+
 def test_fusion(spark):
     make = lambda keys: spark.createDataFrame([(1, k, i + 1) for i, k in enumerate(keys)], "query_id long, doc_id string, rank int")
     got = fusion.fuse([(make(["a", "b"]), 0.4), (make(["b", "c"]), 0.6)]).orderBy("rank").collect()
