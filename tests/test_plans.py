@@ -1,4 +1,5 @@
 import sys
+import uuid
 
 import pandas as pd
 import pytest
@@ -70,6 +71,75 @@ def test_store(spark, tmp_path):
     assert sorted(r.chunk_id for r in store.rows().collect()) == ["a", "b"]
 
 
+def counting(folder):
+    """An embedder that notes each text it is asked for, in files, as tasks run in other processes."""
+
+    def embed(texts):
+        for t in texts:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(t)
+        return EMBED(texts)
+
+    return embed
+
+
+def chunk_rows(spark, pages):
+    rows = [(f"{url}#{i}#{hash(t)}", url, t) for url, ts in pages.items() for i, t in enumerate(ts)]
+    return spark.createDataFrame(rows, "chunk_id string, source_url string, page_content string")
+
+
+def test_store_merges_by_source(spark, tmp_path):
+    store, seen = VectorStore(spark, f"{tmp_path}/s"), tmp_path / "seen"
+    seen.mkdir()
+    asked = lambda: sorted(f.read_text() for f in seen.iterdir())
+    held = lambda version=None: sorted(((r.source_url, r.page_content) for r in store.rows(version).collect()), key=str)
+    with pytest.raises(FileNotFoundError):
+        store.rows()
+    store.merge(chunk_rows(spark, {"a": ["a1", "a2"], "b": ["b1"], None: ["n1"]}), counting(seen))
+    assert asked() == ["a1", "a2", "b1", "n1"]
+    first = store.versions.numbers()[-1]
+    store.merge(chunk_rows(spark, {"a": ["a1", "new"], None: ["n2"]}), counting(seen))  # b is not in the batch and stays
+    assert set(held()) == {("a", "a1"), ("a", "new"), ("b", "b1"), (None, "n2")}
+    assert asked() == ["a1", "a2", "b1", "n1", "n2", "new"]  # a1 was not embedded again
+    assert set(held(first)) == {("a", "a1"), ("a", "a2"), ("b", "b1"), (None, "n1")}
+    store.merge(chunk_rows(spark, {}), EMBED, spark.createDataFrame([("b",)], "source_url string"))  # b has no text now
+    store.merge(chunk_rows(spark, {"a": ["a1", "a2"]}), EMBED, whole=True)  # what once was there comes back, all else goes
+    assert held() == [("a", "a1"), ("a", "a2")]
+    with pytest.raises(Exception, match="no embedder"):
+        store.merge(chunk_rows(spark, {"a": ["x"]}), lambda t: (_ for _ in ()).throw(RuntimeError("no embedder")))
+    assert held() == [("a", "a1"), ("a", "a2")]
+    store.compact()
+    store.clean()
+    assert held() == [("a", "a1"), ("a", "a2")] and len(list((tmp_path / "s" / "parts").iterdir())) == 1
+
+
+def test_two_writers_of_a_store(spark, tmp_path):
+    a = VectorStore(spark, f"{tmp_path}/s")
+    before = a._now()
+    a.merge(chunk_rows(spark, {"a": ["a1"]}), EMBED)
+    with pytest.raises(RuntimeError, match="another writer"):
+        a._commit(before, {"parts": [], "gone": [], "schema": "{}"})
+    assert a.rows().count() == 1
+
+
+def test_ingest_again(spark, tmp_path):
+    """A changed page leaves no old chunk, a page that is gone none, and unchanged chunks are not embedded again."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    run(spark, tmp_path, embed=counting(seen))
+    first = len(list(seen.iterdir()))
+    kept = dict(PAGES)
+    try:
+        PAGES["https://x/loans"] = "<main><h1>Loans rules</h1><p>Other words altogether.</p></main>"
+        del PAGES["https://x/permits"]
+        store, rows = run(spark, tmp_path, embed=counting(seen))
+    finally:
+        PAGES.clear()
+        PAGES.update(kept)
+    assert sorted(r.chunk_id for r in store.rows().collect()) == sorted(r.chunk_id for r in rows.collect())
+    assert not store.rows().where("page_content like '%loans text%'").count() and len(list(seen.iterdir())) == first + rows.where("source_url like '%loans'").count()
+
+
 def test_pdf_pages(spark, tmp_path):
     (tmp_path / "f.pdf").write_bytes(b"one|  |three ")
     got = web.read_pdf(spark, f"{tmp_path}/f.pdf", lambda b: b.decode().split("|")).orderBy("page_number").collect()
@@ -158,8 +228,13 @@ def test_stream(spark, tmp_path):
     folder.mkdir()
     page = lambda i: pd.DataFrame({"page_id": [i], "url": [f"https://x/{i}"], "html": [f"<p>{'text. ' * 50}{i}</p>"]})
     counts = []
+    held = lambda: {r.page_content for r in store.rows().collect()}
     for i in (1, 2, 1):
         page(i).to_parquet(folder / f"{len(counts)}.parquet")
         streaming.stream(spark, str(folder), store, EMBED, f"{tmp_path}/ckpt").awaitTermination()
         counts.append(store.rows().count())
     assert counts[0] >= 1 and counts[1] == 2 * counts[0] == counts[2]
+    pd.DataFrame({"page_id": [1, 1], "url": ["https://x/1"] * 2, "html": ["<p>the fee is old</p>", "<p>the fee is new</p>"]}).iloc[1:].to_parquet(folder / "3.parquet")
+    pd.DataFrame({"page_id": [2], "url": ["https://x/2"], "html": [""]}).to_parquet(folder / "4.parquet")
+    streaming.stream(spark, str(folder), store, EMBED, f"{tmp_path}/ckpt").awaitTermination()
+    assert held() == {"the fee is new"}  # the changed page has its new text alone, the emptied one none
