@@ -55,13 +55,21 @@ def retrieve(questions: DataFrame, chunks: DataFrame, embed: Embedder, mode: str
         asked = questions.select("query_id", F.col("standalone_question").alias("text"))
         ranked = semantic(chunks, asked, embed, config.fast_top_k).select("query_id", "rank", "chunk_id")
         return ranked.join(chunks.drop("embedding"), "chunk_id")
+    return _reranked(questions, hits_of_phrasings(questions, chunks, embed, model, config), chunks, model, config)
+
+
+def hits_of_phrasings(questions: DataFrame, chunks: DataFrame, embed: Embedder, model: Model, config: Config = Config()) -> DataFrame:
+    """query_id, ordinal, text (the phrasing), rank, chunk_id: the fused list of every phrasing of a question."""
     phrased = expanded(questions, model, config.multi_query_variants).withColumn("_q", F.concat_ws(":", "query_id", "ordinal"))
     asked = phrased.select(F.col("_q").alias("query_id"), "text")
     k = config.ensemble_top_k
     sparse = bm25.top_k(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("page_content").alias("text")), asked, k).withColumnRenamed("doc_id", "chunk_id")
     dense = semantic(chunks, asked, embed, k)
     fused = fusion.fuse([(sparse, config.bm25_weight), (dense, config.vector_weight)], key="chunk_id")
-    hits = fused.withColumnRenamed("query_id", "_q").join(phrased.select("_q", "query_id", "ordinal"), "_q").select("query_id", "ordinal", "rank", "chunk_id")
+    return fused.withColumnRenamed("query_id", "_q").join(phrased, "_q").select("query_id", "ordinal", "text", "rank", "chunk_id")
+
+
+def _reranked(questions: DataFrame, hits: DataFrame, chunks: DataFrame, model: Model, config: Config) -> DataFrame:
     united = fusion.union_of_queries(hits, "chunk_id").join(chunks.drop("embedding"), "chunk_id")
     doc = F.struct("rank", *[c for c in united.columns if c not in ("query_id", "rank")])
     lists = united.groupBy("query_id").agg(F.array_sort(F.collect_list(doc)).alias("docs")).join(questions.select("query_id", "standalone_question"), "query_id")  # at most variants * 2k chunks each

@@ -1,3 +1,4 @@
+import json
 import sys
 import uuid
 
@@ -8,6 +9,7 @@ from pyspark import cloudpickle
 from quarry.__main__ import parser
 from quarry.plans import chain, evaluate, ingest
 from quarry.plans.config import Config
+from quarry.plans.replies import logged
 from quarry.sources import tables, web
 from quarry.sources.store import HashingEmbedder, VectorStore, embedded
 from quarry.streaming import ingest as streaming
@@ -210,12 +212,55 @@ def test_evaluation_run(spark, tmp_path):
     text = evaluate.run(cases, store.rows(), EMBED, model, model, judge, f"{tmp_path}/log", "2026-02-03", commit="abc")
     assert "| best | 100% | 100% | 100% | 100% | 50% |" in text and "| fast | 100%" in text and "**#2** (c, failed: refusal)" in text
     saved = tables.read_results(spark, f"{tmp_path}/log")
-    assert saved.count() == 4 and '"rank":1' in saved.where("mode = 'best' and id = 1").first().retrieval_diagnostics
+    trace = json.loads(saved.where("mode = 'best' and id = 1").first().retrieval_diagnostics)
+    assert saved.count() == 4 and trace["final_reranked"][0]["rank"] == 1 and trace["original_query"] == trace["standalone_query"] == "loans rules"
+    assert trace["generated_queries"] == ["one variant", "loans text", "loans rules"] == [x["query"] for x in trace["retrieved_by_query"]]
+    assert all([r["rank"] for r in x["results"]] == list(range(1, len(x["results"]) + 1)) for x in trace["retrieved_by_query"])
+    text = evaluate.run(cases, store.rows(), EMBED, model, model, judge, f"{tmp_path}/log", "2026-02-03", ("fast",))
+    assert "| best | 100% |" in text and "| fast | 100%" in text  # the other mode's saved results are in the report
     changed = cases.replace("weather?", "rain?", "question")
     evaluate.run_mode(changed, store.rows(), EMBED, model, model, judge, "fast", f"{tmp_path}/log")
     assert tables.read_results(spark, f"{tmp_path}/log").count() == 5  # only the case that changed was asked again
 
 
+def test_a_model_that_fails_is_not_asked_again(spark, tmp_path):
+    """At the 7th of 10 cases: six results are saved, and a rerun asks for the other four alone."""
+    store, _ = run(spark, tmp_path)
+    cases = spark.createDataFrame([(i, f"loans rules {i}", "answer", ["/loans"], "c") for i in range(1, 11)], tables.CASE)
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def answers(prompts, fails=None):
+        for p in prompts:
+            if fails and fails in p:
+                raise RuntimeError("model is down")
+            (asked / uuid.uuid4().hex).write_text(p)
+        return ["a reply" for _ in prompts]
+
+    go = lambda m, batch: evaluate.run_mode(cases, store.rows(), EMBED, model, m, judge, "fast", f"{tmp_path}/log", batch=batch)
+    with pytest.raises(Exception, match="model is down"):
+        go(lambda p: answers(p, "user: loans rules 7"), 1)
+    assert sorted(r.id for r in tables.read_results(spark, f"{tmp_path}/log").collect()) == [1, 2, 3, 4, 5, 6] and len(list(asked.iterdir())) == 6
+    assert go(answers, 1).count() == 10 and len(list(asked.iterdir())) == 10
+    assert go(answers, 1).count() == 10 and len(list(asked.iterdir())) == 10
+
+
+def test_replies_are_kept_one_by_one(tmp_path):
+    calls = []
+
+    def slow(prompts):
+        calls.extend(prompts)
+        if "c" in prompts:
+            raise RuntimeError("down")
+        return [p and p.upper() for p in prompts]
+
+    log = f"file://{tmp_path}/log"
+    with pytest.raises(RuntimeError):
+        logged(slow, log, "x")(["a", "b", "c", "d"])
+    assert logged(slow, log, "x")(["b", "a", "é", None]) == ["B", "A", "É", ""] and calls == ["a", "b", "c", "é", None]
+    assert logged(slow, log, "y")(["a"]) == ["A"] and calls[-1] == "a"
+
+
 def test_settings_and_command_line():
     got = Config.from_environment({"QUARRY_CHUNK_SIZE": "77", "QUARRY_BM25_WEIGHT": "0.5", "QUARRY_SCOPE_PATHS": "/a/,/b/"})
     assert (got.chunk_size, got.bm25_weight, got.scope_paths, got.chunk_overlap) == (77, 0.5, ("/a/", "/b/"), 150)
