@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import splitting
 from quarry.functions import text as T
 
+LINES = "array<struct<line_no:int,line:string,start:long,stop:long>>"
 CHUNK = "array<struct<chunk_index:int,start:int,end:int,text:string,section_index:int,section_title:string>>"
 
 
@@ -45,15 +46,31 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 150) -> Da
     )
 
 
+def _lines(text: Column) -> Column:
+    """Non-blank lines of the normalised text, whose lines end in \\n: array of line_no, line, start, stop. In the row and linear: offsets
+    are running sums, which Spark's array functions build only by copying the array for every line."""
+
+    @F.pandas_udf(LINES)
+    def cut(bodies: pd.Series) -> pd.Series:
+        return pd.Series([_line_spans(b) for b in bodies])
+
+    return cut(text)
+
+
+def _line_spans(text: str | None) -> list[tuple[int, str, int, int]]:
+    out, at = [], 0
+    for n, raw in enumerate(splitting.normalise(text or "").split("\n")):
+        if line := raw.strip():
+            start = at + len(raw) - len(raw.lstrip())
+            out.append((n, line, start, start + len(line)))
+        at += len(raw) + 1
+    return out
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no, line, start, stop of every non-blank line of the normalised text, whose lines end in \\n."""
-    raw = docs.select(key, F.posexplode(F.split(T.normalised(F.col(text)), "\n")).alias("line_no", "raw"))
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = raw.withColumn("at", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)))
-    line = T.strip(F.col("raw"))
-    indent = F.length("raw") - F.length(F.regexp_replace("raw", rf"(?U)^{T.SPACE}+", ""))
-    start = F.col("at") + indent
-    return placed.select(key, "line_no", line.alias("line"), start.alias("start"), (start + F.length(line)).alias("stop")).where("line <> ''")
+    """key, line_no, line, start, stop of every non-blank line of every row: rows of one key have lines of their own. Narrow."""
+    one = docs.select(key, F.explode_outer(_lines(F.col(text))).alias("x")).where("x is not null")
+    return one.select(key, "x.*")
 
 
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,14 +78,16 @@ def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def section_bounds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, section_index, title (null: the document's own), start, stop: from a heading to the next one."""
-    ends = docs.select(key, F.length(T.normalised(F.col(text))).cast("long").alias("size")).where("size > 0")
-    heads = headings(docs, key, text).select(key, F.col("line").alias("title"), F.col("start").cast("long").alias("start"))
-    begins = heads.unionByName(ends.select(key, F.lit(None).cast("string").alias("title"), F.lit(0).cast("long").alias("start")))
-    order = Window.partitionBy(key).orderBy("start", F.col("title").isNull())
-    first = Window.partitionBy(key, "start").orderBy(F.col("title").isNull())
-    one = begins.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return one.join(ends, key).select(key, (F.row_number().over(order) - 1).alias("section_index"), "title", "start", F.coalesce(F.lead("start").over(order), F.col("size")).alias("stop"))
+    """key, section_index, title (null: the document's own), start, stop: from a heading to the next one, for every row by itself. Narrow."""
+    rows = docs.select(key, _lines(F.col(text)).alias("lines"), F.length(T.normalised(F.col(text))).cast("long").alias("size"))
+    rows = rows.select(key, "size", F.filter("lines", lambda x: T.is_heading(x["line"])).alias("heads"))
+    own = F.struct(F.lit(None).cast("string").alias("title"), F.lit(0).cast("long").alias("start"))
+    named = F.transform("heads", lambda x: F.struct(x["line"].alias("title"), x["start"].alias("start")))
+    begins = F.when(F.coalesce(F.get(F.col("heads"), 0)["start"], F.lit(1)) > 0, F.concat(F.array(own), named)).otherwise(named)
+    rows = rows.where("size > 0").select(key, "size", begins.alias("begins"))
+    ends = F.concat(F.transform(F.slice("begins", 2, F.size("begins")), lambda x: x["start"]), F.array("size"))
+    spans = F.zip_with("begins", ends, lambda x, stop: F.struct(x["title"].alias("title"), x["start"].alias("start"), stop.alias("stop")))
+    return rows.select(key, F.posexplode_outer(spans).alias("section_index", "x")).where("x is not null").select(key, "section_index", "x.*")
 
 
 def section_of_chunk(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -130,17 +130,17 @@ sections as (select doc_id, cast(row_number() over w - 1 as integer) as section_
 
 @query(f"with {LINES} select * from lines")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "line", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    return chunking.lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "line_no", "line", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
 @query(f"with {LINES} select doc_id, line_no, line from lines where {HEADING}")
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.headings(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "line")
+    return chunking.headings(spread(table(spark, sf_dir, "documents"))).select("doc_id", "line_no", "line")
 
 
 @query(f"with {SECTIONS} select * from sections")
 def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.section_bounds(table(spark, sf_dir, "documents"))
+    return chunking.section_bounds(spread(table(spark, sf_dir, "documents")))
 
 
 @query(f"""with {SECTIONS},

@@ -129,3 +129,22 @@ def test_native_agrees_with_spans(spark):
     for r in section_bounds(docs).orderBy("doc_id", "section_index").collect():
         titles.setdefault(r.doc_id, []).append((r.title or "", r.start))
     assert titles == {i: [(n, s[0]) for n, s in S.sections(S.normalise(t), "")] for i, t in enumerate(texts)}
+
+
+def test_rows_of_one_key_keep_lines_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "aaa\nbbb"), (1, "dddd\n\n eee"), (None, "ccc"), (2, ""), (3, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.line_no, r.line, r.start, r.stop) for r in lines(docs).collect()) == [("1", 0, "aaa", 0, 3), ("1", 0, "dddd", 0, 4), ("1", 1, "bbb", 4, 7), ("1", 2, "eee", 7, 10), ("None", 0, "ccc", 0, 3)]
+    assert sorted((str(r.doc_id), r.section_index, r.title, r.start, r.stop) for r in section_bounds(docs).collect()) == [("1", 0, "aaa", 0, 4), ("1", 0, "dddd", 0, 7), ("1", 1, "bbb", 4, 7), ("1", 1, "eee", 7, 10), ("None", 0, "ccc", 0, 3)]
+
+
+def test_lines_of_a_long_text_take_no_longer_each():
+    import time
+
+    from quarry.operators.chunking import _line_spans
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.perf_counter()
+        assert len(_line_spans("a line\n" * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60 * took[0]
