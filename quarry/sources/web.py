@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -139,14 +138,6 @@ def http_fetcher(agent: str, timeout: float = 15.0) -> Fetcher:
     return fetch
 
 
-def staged_name(url: str) -> str:
-    """Name of a downloaded file: its own, told apart by a digest of the URL so that none collide."""
-    import hashlib
-
-    base = os.path.basename(url.split("?", 1)[0]) or "doc.pdf"
-    return hashlib.sha256(url.encode()).hexdigest()[:16] + "-" + (base if base.lower().endswith(".pdf") else base + ".pdf")
-
-
 def pdf_fetcher(agent: str, timeout: float = 60.0) -> Callable[[str], bytes]:
     """The bytes of a file, with the standard library."""
 
