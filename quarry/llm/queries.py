@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, shared_folder, table
+from quarry.llm.common import crc_mod, leave_on_exit, shared_folder, table
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.binary import read_tokens, write_tokens
 
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    leave_on_exit(spark, path)
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_tokens(spark, path)
 
