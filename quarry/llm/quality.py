@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, filtered, keep_heap, texts, written
+from quarry.llm.common import bounded_batches, filtered, forget, keep_heap, texts, written
 from quarry.llm.labelled import labelled_sample
 
 PER_CLASS = 4000
@@ -39,6 +39,9 @@ BUCKETS, SHAPES, DIM, NONZERO, WINDOW = 65_536, 1024, 32, 6, 2
 SAME, UNITS = BUCKETS + SHAPES, BUCKETS + SHAPES + 1
 #: Words remembered, words that are worked on at once, units of a block.
 CACHE_WORDS, SLICE, BLOCK = 600_000, 100_000, 4096
+#: Partial sums of a block that are added up by one group.
+FAN = 32
+SAME_KEY = b"\x00same"
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 RUNS = ((re.compile(r"[^\W\d_a-z]*[A-Z][^\W\d_a-z]*"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1+"), r"\1"))
 
@@ -84,7 +87,7 @@ class Units:
         self.form, self.look, self.index = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros((1024, DIM), np.int16)
         self.looks: dict[str, int] = {}
         self.look_rows, self.look_index = np.zeros(0, np.int32), np.zeros((0, DIM), np.int16)
-        self.same = index_vectors([b"\x00same"])[0]
+        self.same = index_vectors([SAME_KEY])[0]
 
     def learn(self, words: list[str]) -> None:
         """Remembers these different new words."""
@@ -157,55 +160,131 @@ def added_up(sums: np.ndarray, sizes: np.ndarray, slots: np.ndarray, same: np.nd
     sums[:, SAME] += around[:, same].sum(axis=1)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """UNITS x DIM context vectors, of length 1 or 0: random indexing over all documents. A table of fixed size reaches the driver."""
+@dataclass
+class Bags:
+    """What texts hold, without the order of their words: all that their numbers need beside the context vectors.
+
+    words: how many each has; forms: the words' buckets, one text after another; looks, times: shapes' rows and how often,
+    kinds of them for each text; own: the sums of the words' index vectors and of the shapes'; same: repetitions.
+    """
+
+    words: np.ndarray
+    forms: np.ndarray
+    looks: np.ndarray
+    times: np.ndarray
+    kinds: np.ndarray
+    own: np.ndarray
+    same: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, slots: np.ndarray, same: np.ndarray, units: Units) -> Bags:
+        many, which = max(1, len(units.looks)), np.repeat(np.arange(len(sizes)), sizes)
+        pair, times = np.unique(which * many + units.look[slots], return_counts=True)
+        text, look = pair // many, pair % many
+        own, full = np.zeros((len(sizes), 2 * DIM), np.int64), np.flatnonzero(sizes)
+        if len(full):
+            own[full, :DIM] = np.add.reduceat(units.index.take(slots, axis=0, mode="clip"), (np.cumsum(sizes) - sizes)[full], axis=0, dtype=np.int64)
+            own[full, DIM:] = np.add.reduceat(units.look_index[look] * times[:, None], np.searchsorted(text, full), axis=0)
+        kinds = np.bincount(text, minlength=len(sizes))
+        return cls(sizes, units.form[slots].astype("<u2"), (units.look_rows[look] - BUCKETS).astype("<u2"), times.astype("<i4"), kinds, own, np.bincount(which[same], minlength=len(sizes)))
+
+    def columns(self) -> list[pa.Array]:
+        """As the columns words, same, forms, looks, times, own of a row each."""
+        cut = lambda x, n: [x[z - k : z].tobytes() for k, z in zip(n.tolist(), np.cumsum(n).tolist())]
+        own = [x.tobytes() for x in self.own.astype("<i8")]
+        parts = (cut(self.forms, self.words), cut(self.looks, self.kinds), cut(self.times, self.kinds), own)
+        return [pa.array(self.words, pa.int64()), pa.array(self.same, pa.int64()), *(pa.array(x, pa.binary()) for x in parts)]
+
+    @classmethod
+    def read(cls, columns: list[pa.Array]) -> Bags:
+        words, same = (c.to_numpy(zero_copy_only=False) for c in columns[:2])
+        forms, looks, times, own = (np.frombuffer(b"".join(c.to_pylist()), k) for c, k in zip(columns[2:], ("<u2", "<u2", "<i4", "<i8")))
+        kinds = np.fromiter((len(x) // 2 for x in columns[3].to_pylist()), np.int64, len(words))
+        return cls(words, forms, looks, times, kinds, own.reshape(-1, 2 * DIM), same)
+
+    def numbers(self, vectors: np.ndarray) -> np.ndarray:
+        """2 * DIM numbers a text: the mean of the words' vectors, and of the shapes' with repetition."""
+        x, full = np.zeros((len(self.words), 2 * DIM)), np.flatnonzero(self.words)
+        if len(full):
+            scale = 1 / np.sqrt(NONZERO)
+            x += self.own * scale
+            begin = lambda n: (np.cumsum(n) - n)[full]
+            x[full, :DIM] += np.add.reduceat(vectors.take(self.forms, axis=0, mode="clip"), begin(self.words), axis=0)
+            x[full, DIM:] += np.add.reduceat(vectors[BUCKETS + self.looks.astype(np.int64)] * self.times[:, None], begin(self.kinds), axis=0)
+            x[:, DIM:] += self.same[:, None] * 3.0 * (vectors[SAME] + index_vectors([SAME_KEY])[0] * scale)
+            x[full] /= self.words[full, None]
+        return x.astype(np.float32)
+
+
+BAG = "words long, same long, forms binary, looks binary, times binary, own binary"
+BAG_NAMES = [c.split()[0] for c in BAG.split(", ")]
+
+
+def tallied(docs: DataFrame, bags: bool) -> DataFrame:
+    """A written table: rows with a block are partial sums of context vectors (part: the task), the others, if asked for, the
+    bags of all documents. Each text is split once."""
     bounded_batches(docs.sparkSession)
+    sums_schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("v", pa.binary()), ("doc_id", pa.int64())])
+    schema = pa.schema([*sums_schema, *((c.split()[0], pa.int64() if c.endswith("long") else pa.binary()) for c in BAG.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         keep_heap()
-        units, sums = Units(), np.zeros((DIM, UNITS))
+        units, sums, part = Units(), np.zeros((DIM, UNITS)), TaskContext.get().partitionId()
         for b in batches:
+            at = 0
             for sizes, slots, same in units.batches(b.column(1).to_pylist()):
                 if len(slots):
                     added_up(sums, sizes, slots, same, units)
+                if bags:
+                    none = [pa.nulls(len(sizes), f.type) for f in list(sums_schema)[:-1]]
+                    yield pa.RecordBatch.from_arrays([*none, b.column(0).slice(at, len(sizes)), *Bags.of(sizes, slots, same, units).columns()], schema=schema)
+                at += len(sizes)
         whole = sums.T.astype(np.int64)
         met = np.flatnonzero(np.abs(whole).sum(axis=1))
         for block in np.unique(met // BLOCK).tolist():
             at = met[met // BLOCK == block]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([whole[at].astype("<i8").tobytes()], pa.binary())], names=["block", "at", "v"])
+            row = [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([whole[at].astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*row, *(pa.nulls(1, f.type) for f in list(schema)[4:])], schema=schema)
+
+    return written(texts(docs).mapInArrow(run, f"block int, part int, at binary, v binary, doc_id long, {BAG}"), "quality-tally")
+
+
+def word_vectors(docs: DataFrame, tally: DataFrame | None = None) -> np.ndarray:
+    """UNITS x DIM context vectors, of length 1 or 0: random indexing over all documents. A table of fixed size reaches the driver.
+
+    Partial sums of FAN tasks at most meet in one group, then those of FAN such groups, until one is left, so no task grows with the table.
+    """
 
     def added(key, rows):
         out = np.zeros((BLOCK, DIM), np.int64)
-        for r in rows.select(["at", "v"]).to_pylist():
-            out[np.frombuffer(r["at"], "<i4") % BLOCK] += np.frombuffer(r["v"], "<i8").reshape(-1, DIM)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([b""], pa.binary()), "v": pa.array([out.tobytes()], pa.binary())})
-
-    parts = texts(docs).mapInArrow(run, "block int, at binary, v binary")
-    total = parts.groupBy("block").applyInArrow(added, "block int, at binary, v binary")
+        for at, v in zip(*(rows.column(c) for c in ("at", "v"))):
+            out[np.frombuffer(at.as_buffer(), "<i4") % BLOCK] += np.frombuffer(v.as_buffer(), "<i8").reshape(-1, DIM)
+        met = np.flatnonzero(np.abs(out).sum(axis=1))
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (met.astype("<i4"), out[met])]
+        return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + binary, names=["block", "part", "at", "v"])
+
+    own = tally if tally is not None else tallied(docs, bags=False)
+    parts = own.where("block is not null").select("block", "part", "at", "v")
+    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(added, "block int, part int, at binary, v binary")
+        left = -(-left // FAN)
+        if left == 1:
+            break
     out = np.zeros((-(-UNITS // BLOCK) * BLOCK, DIM))
-    for row in total.collect():  # the units, in blocks
-        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.v, "<i8").reshape(-1, DIM)
+    for row in parts.collect():  # the units, in blocks
+        out[row.block * BLOCK + np.frombuffer(row.at, "<i4")] = np.frombuffer(row.v, "<i8").reshape(-1, DIM)
+    if tally is None:
+        forget(own)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(length > 0, length, 1)).astype(np.float32)[:UNITS]
 
 
 def pooled(some: list[str], vectors: np.ndarray, units: Units) -> np.ndarray:
-    """2 * DIM numbers a text: the mean of the words' vectors, and of the shapes' with repetition."""
-    out = [np.zeros((0, 2 * DIM), np.float32)]
-    scale = np.float32(1 / np.sqrt(NONZERO))
-    again = 3.0 * (vectors[SAME] + units.same * scale)
-    for sizes, slots, same in units.batches(some):
-        x, full = np.zeros((len(sizes), 2 * DIM), np.float32), np.flatnonzero(sizes)
-        if len(full):
-            each = np.empty((len(slots), 2 * DIM), np.float32)
-            each[:, :DIM] = vectors.take(units.form[slots], axis=0, mode="clip")
-            each[:, :DIM] += units.index.take(slots, axis=0, mode="clip") * scale
-            looks = vectors[units.look_rows] + units.look_index * scale
-            each[:, DIM:] = looks.take(units.look[slots], axis=0, mode="clip")
-            each[same, DIM:] += again.astype(np.float32)
-            x[full] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[full], axis=0) / sizes[full, None]
-        out.append(x)
-    return np.concatenate(out)
+    """The numbers of texts, 2 * DIM each."""
+    return np.concatenate([np.zeros((0, 2 * DIM), np.float32)] + [Bags.of(*got, units).numbers(vectors) for got in units.batches(some)])
 
 
 @dataclass
@@ -260,8 +339,9 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int = 32, ep
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "quality", per_class: int = PER_CLASS) -> tuple[np.ndarray, Network]:
-    vectors = word_vectors(docs)
+def fit(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "quality", per_class: int = PER_CLASS, tally: DataFrame | None = None) -> tuple[np.ndarray, Network]:
+    """The context vectors over all documents and the network. tally: what tallied() wrote of docs, if it is there."""
+    vectors = word_vectors(docs, tally)
     sample, totals = labelled_sample(docs, labels, label, trained, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +360,9 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "quali
     return vectors, train(x, y, weight)
 
 
-def quality(docs: DataFrame, vectors: np.ndarray, network: Network, keep: Callable[[float], bool] | None = None) -> DataFrame:
-    """doc_id, score of every row; with keep, the rows of docs, all columns, whose score it accepts."""
+def quality(docs: DataFrame, vectors: np.ndarray, network: Network, keep: Callable[[float], bool] | None = None, tally: DataFrame | None = None) -> DataFrame:
+    """doc_id, score of every row; with keep, the rows of docs, all columns, whose score it accepts. With the
+    bags of tallied() texts are not split again."""
     bounded_batches(docs.sparkSession)
     if keep:
 
@@ -292,6 +373,15 @@ def quality(docs: DataFrame, vectors: np.ndarray, network: Network, keep: Callab
 
         return filtered(docs, scores, keep)
 
+    if tally is not None:
+
+        def of_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_heap()
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.probability(Bags.read(b.columns[1:]).numbers(vectors)), pa.float64())], names=["doc_id", "score"])
+
+        return tally.where("block is null").select("doc_id", *BAG_NAMES).mapInArrow(of_bags, "doc_id long, score double")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
         units = Units()

@@ -83,11 +83,12 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.quality import fit, quality
+    from quarry.llm.quality import fit, quality, tallied
 
     docs, held = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2
-    vectors, network = fit(docs, table(spark, sf_dir, "labels"), ~held)
-    return quality(docs, vectors, network).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    tally = tallied(docs, bags=True)
+    vectors, network = fit(docs, table(spark, sf_dir, "labels"), ~held, tally=tally)
+    return quality(docs, vectors, network, tally=tally).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,13 @@ def test_quality(spark):
     flat = fit_quality(docs, labels.where("quality = 1"), ~held)
     assert quality(docs.limit(3), *flat).where("score < 0.9").count() == 0
     assert quality(docs.limit(0), vectors, network).count() == 0
+    tally = Q.tallied(docs, bags=True)  # the same from stored bags
+    assert (Q.word_vectors(docs, tally) == vectors).all()
+    ordered = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in rows)
+    again = ordered(quality(docs, vectors, network, tally=tally).collect())
+    assert [r[:2] for r in again] == [r[:2] for r in ordered(got)] and np.allclose(again, ordered(got), rtol=1e-9, atol=0)
+    empty = Q.tallied(docs.limit(0), bags=True)
+    assert not Q.word_vectors(docs.limit(0), empty).any() and quality(docs, vectors, network, tally=empty).count() == 0
 
 
 def test_shapes():
@@ -119,11 +126,14 @@ def test_shapes():
     assert shape(blob) == shape("aB3-" * 511) != shape(blob[:-1] + "%") and shape(blob[:64]) != shape(blob)
 
 
-def test_word_vectors_and_pooling_against_brute_force(spark):
+def test_word_vectors_and_pooling_against_brute_force(spark, monkeypatch):
     texts = ["The the cat, sat", "", "cat CAT cat", "one", "  sat on\tthe mat! " * 3, "the cat, sat"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
     vectors = Q.word_vectors(docs.repartition(1))
-    assert (vectors == Q.word_vectors(docs.orderBy(F.desc("doc_id")).repartition(5))).all()  # exact, whatever the order
+    many = docs.orderBy(F.desc("doc_id")).repartition(5)
+    assert (vectors == Q.word_vectors(many)).all()  # exact, whatever the order
+    monkeypatch.setattr(Q, "FAN", 2)
+    assert (vectors == Q.word_vectors(many)).all()  # and however many sums meet at a time
     bucket = lambda w: zlib.crc32(Q.form(w).encode()) % Q.BUCKETS
     look = lambda w: Q.BUCKETS + zlib.crc32(b"\x00" + shape(w).encode()) % Q.SHAPES
     index = lambda w: Q.index_vectors([Q.form(w).encode()])[0].astype(int)
