@@ -25,6 +25,7 @@ apart by turn; null keys sort first; extra columns are ignored; an empty table w
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -36,11 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bytewords import word_ids
+from quarry.llm.bytewords import dictionary_words
 from quarry.llm.common import bounded_batches, keep_heap, texts, written
 
 SHARD_IDS = 2_000_000
-CACHE_PARTS = 600_000
+#: Words of one generation that are remembered; parts of words, twice as many; parts that the library sees at once, and as one line.
+CACHE_PARTS, AT_ONCE, LINE = 300_000, 100_000, 16
 NULL_KEY = -(2**63)
 SCHEMA = "part int, seq int, first long, last long, n_tokens long, width int, nulls int, keys binary, turns binary, ids binary, levels binary, level_bits binary, prints binary, offsets binary, lengths binary"
 
@@ -161,6 +163,7 @@ class WordEncoder:
     """
 
     LETTERS, SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+    PLAIN = re.compile(rf"{LETTERS}+").fullmatch
     PARTS = re.compile(rf"{LETTERS}+(?={SIGNS}*\Z)|{SIGNS}+(?=\Z)|.+", re.DOTALL)
 
     def __init__(self, path: str):
@@ -172,36 +175,60 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values() if t.content]
         self.width, self.code = (2, "H") if self.lib.get_vocab_size() <= 1 << 16 else (4, "I")
-        self.known: dict[bytes, bytes] = {}
+        suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.lib.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[k for w, k in vocab.items() if suffix and w.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """The ids of these words. New ones are remembered; others are forgotten where there would be too many."""
-        get = self.known.get
-        found = list(map(get, words))
+    def encoded_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Parts with their ids. Those of letters alone go to the library LINE at a time, with spaces between, where its last
+        tokens of words show which ids are whose."""
+        lines, rest = ([p for p in parts if self.PLAIN(p)], [p for p in parts if not self.PLAIN(p)]) if self.last.any() else ([], parts)
+        joined = [" ".join(lines[k : k + LINE]) for k in range(0, len(lines), LINE)]
+        each = [e.ids for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter((x for own in each for x in own), f"<u{self.width}", sum(map(len, each)))
+        stops = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+        if len(stops) == len(lines):
+            data = ids.tobytes()
+            yield from zip(lines, (data[a:z] for a, z in zip([0, *stops], stops)))
+        else:
+            rest = parts
+        for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
+            yield p, array(self.code, e.ids).tobytes()
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of these words. New ones are remembered, in two generations: where there would be too many, those go that
+        the younger one has not met."""
+        found = list(map(self.known.get, words))
         new = [w for w, f in zip(words, found) if f is None]
         if not new:
             return found
         if len(self.known) + len(new) > CACHE_PARTS:
-            self.known.clear()
-        if len(self.parts) > CACHE_PARTS:
+            self.older, self.known = self.known, {}
+        if len(self.parts) > 2 * CACHE_PARTS:
             self.parts.clear()
-        for i in range(0, len(new), CACHE_PARTS):
-            cut = [self.PARTS.findall(w.decode()) for w in new[i : i + CACHE_PARTS]]
-            unseen = list({p for parts in cut for p in parts}.difference(self.parts))
-            for p, e in zip(unseen, self.lib.encode_batch_fast(unseen, add_special_tokens=False)):
-                self.parts[p] = array(self.code, e.ids).tobytes()
-            self.known.update(zip(new[i : i + CACHE_PARTS], (b"".join(map(self.parts.__getitem__, parts)) for parts in cut)))
-        some = dict(zip(new, map(self.known.__getitem__, new)))
-        return [some[w] if f is None else f for w, f in zip(words, found)]
+        older = self.older
+        fresh = {w: older[w] for w in new if w in older}
+        unmet = [w for w in new if w not in fresh] if fresh else new
+        cut = list(map(self.PARTS.findall, unmet))
+        unseen = list({p for parts in cut for p in parts}.difference(self.parts))
+        for i in range(0, len(unseen), AT_ONCE):
+            self.parts.update(self.encoded_parts(unseen[i : i + AT_ONCE]))
+        part = self.parts.__getitem__
+        fresh.update((w, part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))) for w, parts in zip(unmet, cut))
+        self.known.update(fresh)
+        return [fresh[w] if f is None else f for w, f in zip(words, found)]
 
     def encode(self, texts_: pa.Array, end: bytes) -> list[bytes]:
         """Payloads of the texts, each with the end."""
         out: list[bytes] = []
-        for sizes, local, words in word_ids(texts_):
+        for sizes, local, words in dictionary_words(texts_):
             payloads = self.learn(words)
             length = np.fromiter(map(len, payloads), np.int64, len(payloads)) // self.width
             flat = np.frombuffer(b"".join(payloads), f"<u{self.width}")

@@ -40,6 +40,17 @@ def test_more_words_than_remembered(monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(pa.array(all_texts), b"\2\0")] == [ids_of(t) for t in all_texts]
 
 
+def test_words_of_the_older_generation(monkeypatch):
+    import quarry.llm.binary as m
+
+    monkeypatch.setattr(m, "CACHE_PARTS", 20)
+    own = WordEncoder(PATH)
+    for k in range(12):
+        some = [f" q{i}. zürich\t{'É' * (i % 3)}x{i % 7}, " for i in range(k, k + 9)] + ["", " ", "\x0b", "a\x00b\x1c c\xa0D\u2003e"]
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(pa.array(["cut", *some]).slice(1), b"\2\0")] == [ids_of(t) for t in some]
+    assert own.older
+
+
 def test_perfect_hash():
     r = np.random.default_rng(3)
     for n in (0, 1, 2, 1000, 20000):
