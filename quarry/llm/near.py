@@ -6,7 +6,7 @@ in order, with the one before and with the first; pairs within 12 bits are verif
 
 Pairs of similarity 0.8 differ by some 10 bits of 64, up to more than an index can guarantee, so a set join
 completes the components. It is exact, up to 64-bit hashes of shingles and sets. Documents of equal sets are one node. Shingles
-have one global order, frequent ones (seen often in a sample) last; two sets of similarity 0.8 meet in the
+have one global order, by how many texts hold them, rare ones first, as counters of fixed number over the whole table tell; two sets of similarity 0.8 meet in the
 first n - ceil(0.8 n) + 1 shingles of both, so nodes are posted under these only. A list is not expanded into
 its pairs: member by member, in the order of nodes so that lists of one group begin alike, it gives the pairs with
 the members after, as far as size and position allow them, until they pass a number in proportion to its length.
@@ -42,8 +42,8 @@ from quarry.llm.simhash import fingerprint
 WORDS = 5
 #: Positional bytes that fingerprints share to meet, bits that they differ by at most to be verified.
 SHARED, APART = 3, 12
-#: Documents of the sample at least, and one in so many; how many of them make a shingle frequent, frequent shingles at most.
-SAMPLE, SHARE, OFTEN, FREQUENT = 5000, 8, 4, 262_144
+#: Counters of shingles, of a block of them; tasks whose counts are added up by one group.
+COUNTERS, BLOCK, FAN = 1 << 24, 1 << 18, 32
 #: Members of a list that gives all pairs at once; nodes that are broadcast.
 SHORT, LOOKED_UP = 3, 200_000
 #: Members of a list that is not narrowed.
@@ -83,28 +83,89 @@ def differences(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def frequent(numbered: DataFrame) -> dict[int, int]:
-    """Frequent shingles and their places in the order, from a sample that grows with the table: lists of others stay short."""
-    share = max(1, min(SHARE, numbered.count() // SAMPLE))
+def counter(s: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of each shingle, of so many (a power of two), by the upper bits of its hash."""
+    return (s.view(np.uint64) >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest one needs: 1, 2 or 4, which it may fill."""
+    top = int(x.max(initial=0))
+    return np.minimum(x, 2**32 - 1).astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def widened(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"<u{len(x) // n}")
+
+
+def counted(numbered: DataFrame) -> DataFrame:
+    """block, v, least, total: how many texts hold shingles of each counter, over the whole table, in blocks of BLOCK counters.
+
+    A task counts its own texts; counts of FAN tasks at most meet in one group, then those of FAN such groups, until one is left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, part = np.zeros(COUNTERS, np.uint32), TaskContext.get().partitionId()
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t))], names=["s"])
+                np.add.at(held, counter(shingle_set(t), COUNTERS), 1)
+        for block, own in enumerate(held.reshape(-1, BLOCK)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([narrow(own)], pa.binary())], names=["block", "part", "v"])
+
+    def added(key, rows):
+        out = np.zeros(BLOCK, np.uint64)
+        for v in rows.column("v"):
+            out += widened(v.as_buffer().to_pybytes(), BLOCK)
+        return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([narrow(out)], pa.binary())], names=["block", "part", "v"])
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [widened(v, BLOCK).astype(np.int64) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(x.min()) for x in each], pa.int64()), pa.array([int(x.sum()) for x in each], pa.int64())], names=["block", "v", "least", "total"])
+
+    parts = written(numbered.select("text").mapInArrow(run, "block int, part int, v binary"), "near-counts")
+    left, sums = (parts.agg(F.max("part")).first()[0] or 0) + 1, parts
+    while left > 1:
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(added, "block int, part int, v binary")
+        left = -(-left // FAN)
+    table = written(sums.select("block", "v").mapInArrow(summary, "block int, v binary, least long, total long"), "near-counters")
+    forget(parts)
+    return table
+
+
+def rarity(numbered: DataFrame) -> np.ndarray:
+    """A byte for each counter, larger where more texts hold its shingles: linear above the least count, in quarters of what
+    chance spreads counts by, then by logarithm. Of fixed size. Any order of shingles gives right results, so that
+    shingles share counters only makes some lists longer."""
+    table = counted(numbered)
+    one = table.agg(F.count("*").alias("n"), F.min("least").alias("least"), F.sum("total").alias("total")).first()
+    least = one.least if one.n == COUNTERS // BLOCK else 0
+    unit = max(1.0, ((one.total or 0) / COUNTERS) ** 0.5 / 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v in b.column(1).to_pylist():
+                x = (widened(v, BLOCK) - float(least)) / unit
+                out.append(np.where(x < 128, x, np.minimum(255, 128 + 4 * np.log2(np.maximum(x, 128) / 128))).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["block", "v"])
 
-    some = numbered.where(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).select("text").mapInArrow(run, "s long")
-    top = some.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
-    return {r.s: i for i, r in enumerate(reversed(top))}
+    codes = np.zeros(COUNTERS, np.uint8)
+    for row in table.select("block", "v").mapInArrow(run, "block int, v binary").toLocalIterator():  # the counters, in blocks
+        codes[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.v, np.uint8)
+    forget(table)
+    return codes
 
 
-def prefixes(numbered: DataFrame, order: dict[int, int]) -> DataFrame:
+def prefixes(numbered: DataFrame, codes: np.ndarray) -> DataFrame:
     """rid, doc_id, node (hash of the set), n, sketch, fp, first (the shingles it is posted under) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known = np.array(sorted(order), np.int64)
-        places = np.array([order[s] for s in sorted(order)], np.int64)
         for b in batches:
             nodes, sizes, sketches, fps, first = [], [], [], [], []
             for t in b.column(2).to_pylist():
@@ -113,10 +174,7 @@ def prefixes(numbered: DataFrame, order: dict[int, int]) -> DataFrame:
                 sizes.append(len(s))
                 sketches.append(sketch(s))
                 fps.append(fingerprint(t or "", WORDS))
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, places[at], -1)
-                    s = s[np.lexsort((s, rank))]
+                s = s[np.lexsort((s, codes[counter(s, len(codes))]))]
                 # a set of one shingle is similar to an equal set only, which is the same node
                 first.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1] if len(s) > 1 else s[:0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(fps, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["rid", "doc_id", "node", "n", "sketch", "fp", "first"])
@@ -304,7 +362,7 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def near_groups(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (rid, doc_id, node) of every row of numbered (rid, doc_id, text), and roots (node, root) of nodes that have links."""
     bounded_batches(numbered.sparkSession)
-    rows = written(prefixes(numbered, frequent(numbered)), "near-rows")
+    rows = written(prefixes(numbered, rarity(numbered)), "near-rows")
     reps = written(rows.groupBy("node").agg(F.min(F.struct("rid", "n", "sketch", "fp")).alias("x")).select("node", "x.*"), "near-nodes")
     prints = written(fingerprint_pairs(reps), "near-prints")
     roots = connected(verified(prints, numbered, reps))

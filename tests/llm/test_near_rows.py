@@ -27,7 +27,7 @@ def test_group_below_the_limit(spark, monkeypatch):
         asked.append(pairs.count())
         return verified(pairs, *rest)
 
-    monkeypatch.setattr(near, "frequent", lambda numbered: {})
+    monkeypatch.setattr(near, "rarity", lambda numbered: np.zeros(near.COUNTERS, np.uint8))
     monkeypatch.setattr(near, "fingerprint_pairs", none)
     monkeypatch.setattr(near, "verified", counted)
     want = brute(texts)
@@ -58,9 +58,23 @@ def test_what_stands_elsewhere(spark):
     assert {i: got.get(i, 0) for i in range(5)} == want and sum(want.values()) > 3
 
 
-def test_sample_grows_with_the_table(spark, monkeypatch):
-    """A shingle in a tenth of the texts is frequent, however many texts there are."""
-    monkeypatch.setattr(near, "SAMPLE", 5)
-    texts = [f"a b c d e {i} {i + 1} {i + 2}" if i % 10 == 0 else f"{i} {i + 1} {i + 2} x y z" for i in range(800)]
-    numbered = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
-    assert int(near.shingle_set("a b c d e")[0]) in near.frequent(numbered)
+def test_counts_cover_the_table(spark, monkeypatch):
+    """Every counter holds how many texts have its shingles, however many tasks are added up at a time; rarer ones come first."""
+    monkeypatch.setattr(near, "COUNTERS", 1 << 12)
+    monkeypatch.setattr(near, "BLOCK", 1 << 8)
+    texts = [f"a b c d e {i} {i + 1} {i + 2}" if i % 2 == 0 else f"{i} {i + 1} {i + 2} x y z" for i in range(800)] + ["", None]
+    numbered = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(7)
+    want = np.zeros(near.COUNTERS, int)
+    for t in texts:
+        np.add.at(want, near.counter(near.shingle_set(t), near.COUNTERS), 1)
+    for fan in (2, 32):
+        monkeypatch.setattr(near, "FAN", fan)
+        got = np.zeros(near.COUNTERS, int)
+        for r in near.counted(numbered).collect():
+            got[r.block * near.BLOCK : (r.block + 1) * near.BLOCK] = near.widened(r.v, near.BLOCK)
+            assert (r.least, r.total) == (near.widened(r.v, near.BLOCK).min(), near.widened(r.v, near.BLOCK).sum())
+        assert (got == want).all() and want.max() >= 400
+    codes = near.rarity(numbered)
+    order = np.argsort(want, kind="stable")
+    assert (np.diff(codes[order].astype(int)) >= 0).all() and codes[np.argmax(want)] > codes[np.median(want) == want].max() + 50
+    assert not near.rarity(numbered.limit(0)).any()
