@@ -87,6 +87,25 @@ def data_text(html: str) -> str:
     return "\n\n".join(dict.fromkeys(filter(None, clean)))
 
 
+def overlap(a: list[str], b: list[str]) -> int:
+    """How many lines at most end a and begin b, in linear time: for each line of b then of a, the longest
+    beginning of b that ends there."""
+    if not a or not b:
+        return 0
+    fall, n = [0], 0
+    for line in b[1:]:
+        while n and line != b[n]:
+            n = fall[n - 1]
+        n += line == b[n]
+        fall.append(n)
+    n = 0
+    for line in a[-len(b) :]:
+        while n and line != b[n]:
+            n = fall[n - 1]
+        n += line == b[n]
+    return n
+
+
 def joined(left: str, right: str) -> str:
     """Both texts as paragraphs; lines that end the left and begin the right stand once."""
     if not left or not right:
@@ -95,7 +114,7 @@ def joined(left: str, right: str) -> str:
     lines = right.splitlines(keepends=True)
     full = [i for i, x in enumerate(lines) if x.strip()]
     b = [folded(lines[i]) for i in full]
-    same = max((n for n in range(1, min(len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
+    same = overlap(a, b)
     rest = "".join(lines[full[same - 1] + 1 :] if same else lines).lstrip()
     return f"{left.rstrip()}\n\n{rest}" if rest else left.rstrip()
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import splitting
@@ -92,8 +92,25 @@ def section_bounds(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def section_of_chunk(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds section_index to chunks (key, chunk_index, start, stop): the section with the largest
-    overlap, the first of equals; else the last that begins before the chunk."""
-    s = sections.select(key, F.col("section_index").alias("s_index"), F.col("start").alias("s_start"), F.col("stop").alias("s_stop"))
+    overlap, the first of equals; else the last that begins before the chunk; else the first.
+
+    A key is one document: its sections (at least one, else its chunks go) don't overlap and are numbered by where they begin. One sort of a
+    document's places tells which sections a chunk can meet, and only these are looked up, so pairs grow with chunks
+    and sections, not with their product.
+    """
+    ids = [key, "chunk_index", "start", "stop"]
+    none = F.lit(None)
+    # at one place, chunks that end here come before the section that begins here, chunks that begin here after it
+    place = lambda at, turn: F.struct(F.col(at).cast("long").alias("at"), F.lit(turn).alias("turn"))
+    ends = chunks.select(*ids, F.explode(F.array(place("stop", 0), place("start", 2))).alias("place"), none.cast("int").alias("s_index"))
+    begins = sections.select(key, *(none.cast(t).alias(c) for c, t in chunks.select(*ids[1:]).dtypes), place("start", 1).alias("place"), F.col("section_index").cast("int").alias("s_index"))
+    whole = Window.partitionBy(key)
+    met = ends.unionByName(begins).withColumn("least", F.min("s_index").over(whole))
+    met = met.withColumn("before", F.max("s_index").over(whole.orderBy("place"))).where("place.turn <> 1 and least is not null")
+    of_place = lambda turn: F.max(F.when(F.col("place.turn") == turn, F.col("before")))
+    each = met.groupBy(*ids, "least").agg(of_place(2).alias("low"), of_place(0).alias("high")).withColumn("else", F.coalesce("low", "least"))
+    pairs = each.select(*ids, "low", F.explode(F.sequence("else", F.greatest("else", "high"))).alias("s_index"))
+    s = sections.select(key, F.col("section_index").cast("int").alias("s_index"), F.col("start").alias("s_start"), F.col("stop").alias("s_stop"))
     shared: Column = F.greatest(F.least("stop", "s_stop") - F.greatest("start", "s_start"), F.lit(0))
-    rank = F.struct(shared.alias("shared"), F.when(shared > 0, -F.col("s_index")).when(F.col("s_start") <= F.col("start"), F.col("s_index")).otherwise(-1).alias("tie"))
-    return chunks.join(s, key).groupBy(key, "chunk_index", "start", "stop").agg(F.max_by("s_index", rank).alias("section_index"))
+    tie = F.when(shared > 0, -F.col("s_index")).when(F.col("s_index") == F.coalesce("low", F.lit(-1)), 0).otherwise(-1 - F.col("s_index"))
+    return pairs.join(s, [key, "s_index"]).groupBy(*ids).agg(F.max_by("s_index", F.struct(shared.alias("shared"), tie.alias("tie"))).alias("section_index"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 
 from quarry.functions import splitting as S
 from quarry.functions.text import min_chunk_chars
+from quarry.operators import chunking
 from quarry.operators.chunking import chunk_documents, lines, section_bounds
 
 #: A guide to beekeeping: three sections of different length, the second under the size of the smallest chunk.
@@ -148,3 +150,26 @@ def test_lines_of_a_long_text_take_no_longer_each():
         assert len(_line_spans("a line\n" * n)) == n
         took.append(time.perf_counter() - began)
     assert took[1] < 60 * took[0]
+
+
+def test_section_of_chunk_against_all_pairs(spark):
+    """Chunks and sections with gaps between, empty ones, chunks before the first section and after the last."""
+    r = random.Random(14)
+    chunks, sections, want = [], [], {}
+    for doc in range(60):
+        edges = sorted(r.sample(range(5, 90), 2 * r.randrange(1, 7)))
+        own = list(zip(edges[::2], edges[1::2])) if doc % 2 else list(zip(edges, edges[1:]))
+        sections += [(doc, i, a, b) for i, (a, b) in enumerate(own)]
+        for k in range(12):
+            a = r.randrange(100)
+            b = a + r.choice((0, 1, 5, 20, 60))
+            chunks.append((doc, k, a, b))
+            shared = [min(b, y) - max(a, x) for x, y in own]
+            before = [i for i, (x, _) in enumerate(own) if x <= a]
+            want[doc, k] = shared.index(max(shared)) if max(shared) > 0 else max(before, default=0)
+    chunks.append((99, 0, 0, 5))  # of a document without sections
+    got = chunking.section_of_chunk(
+        spark.createDataFrame(chunks, "doc_id long, chunk_index int, start long, stop long"),
+        spark.createDataFrame(sections, "doc_id long, section_index int, start long, stop long"),
+    )
+    assert {(x.doc_id, x.chunk_index): x.section_index for x in got.collect()} == want

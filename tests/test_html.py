@@ -1,8 +1,9 @@
 """Page text: visible nodes, embedded page data, and where the two meet."""
 
 import json
+import random
 
-from quarry.functions.html import clean_html, data_text, folded, joined, visible_text
+from quarry.functions.html import clean_html, data_text, folded, joined, overlap, visible_text
 
 
 def page(body="", data=None):
@@ -45,3 +46,26 @@ def test_markup_that_does_not_nest():
     assert visible_text("<p>a<nav><div>b</nav>c</b><br/>d") == "a\nc\nd"
     assert visible_text("<p>a<img src=x>b</p><hr>c") == "a\nb\nc"
     assert clean_html(None) == "" and clean_html("") == ""
+
+
+def test_overlap_is_the_longest_in_linear_time():
+    r = random.Random(3)
+    for _ in range(3000):
+        a, b = ([r.choice("xy") for _ in range(r.randrange(9))] for _ in range(2))
+        assert overlap(a, b) == max((n for n in range(1, min(len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
+
+    class Line(str):
+        asked = 0
+
+        def __eq__(self, other):
+            Line.asked += 1
+            return str.__eq__(self, other)
+
+        def __ne__(self, other):
+            return not self == other
+
+        __hash__ = str.__hash__
+
+    same = [Line("x") for _ in range(5000)]
+    assert overlap([*same, Line("y")], same) == 0 and overlap(same, [*same[1:], Line("y")]) == 4999 and overlap(same, same) == 5000
+    assert Line.asked < 3 * 6 * 5000  # three calls, six comparisons a line of both at most
