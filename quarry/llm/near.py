@@ -43,7 +43,7 @@ WORDS = 5
 #: Positional bytes that fingerprints share to meet, bits that they differ by at most to be verified.
 SHARED, APART = 3, 12
 #: Counters of shingles, of a block of them; tasks whose counts are added up by one group.
-COUNTERS, BLOCK, FAN = 1 << 24, 1 << 18, 32
+COUNTERS, BLOCK, FAN = 1 << 23, 1 << 18, 32
 #: Members of a list that gives all pairs at once; nodes that are broadcast.
 SHORT, LOOKED_UP = 3, 200_000
 #: Members of a list that is not narrowed.
