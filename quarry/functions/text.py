@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +34,13 @@ EXPANSIONS: dict[str, tuple[str, ...]] = {
     "sbf": ("sale", "of", "balance", "flats"),
     "spr": ("singapore", "permanent", "resident"),
 }
-HYPHENS = r"[-‐-―−]"
+#: Of a byte: 1 a digit, UPPER and SMALL a letter, 0 what tokens do not hold (hyphens and all signs beyond ASCII are among it).
+UPPER, SMALL = 2, 3
+KIND = np.array([1 if 48 <= c <= 57 else UPPER if 65 <= c <= 90 else SMALL if 97 <= c <= 122 else 0 for c in range(256)], np.uint8)
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+SPACED = np.where(KIND > 0, LOWER, 32).astype(np.uint8)
+#: Texts that are cut at one time.
+TEXTS = 512
 
 
 def strip(text: Column) -> Column:
@@ -81,50 +90,67 @@ def min_chunk_chars(size: int) -> int:
     return min(size, max(200, min(350, size // 4)))
 
 
-def contains_phrase(tokens: Column, phrase: Sequence[str]) -> Column:
-    inside = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return F.contains(inside, F.lit(" " + " ".join(phrase) + " "))
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _known(expansions: Mapping[str, Sequence[str]]) -> Column:
-    return F.create_map(*(x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-
-
-def _raw(text: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(text, HYPHENS, " "), F.lit("[A-Za-z0-9]+"), 0)
-
-
-def _phrases(lower: Column, expansions: Mapping[str, Sequence[str]]) -> list[Column]:
-    return [F.when(contains_phrase(lower, p), F.array(F.lit(a))).otherwise(_none()) for a, p in expansions.items()]
-
-
-def is_acronym(token: Column) -> Column:
-    return (F.length(token) > 1) & (token == F.upper(token)) & token.rlike("[A-Z]")
+def _rows_tokens(text: pa.Array, expansions: Mapping[str, Sequence[str]]) -> pa.ListArray:
+    """The tokens of every text of a batch, by passes over the bytes of all; what acronyms and phrases add is put between them."""
+    text = pc.fill_null(text, "").cast(pa.large_binary())
+    edges = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    raw = np.insert(raw, edges[1:-1] - edges[0], 32)  # no token or phrase goes on in the next text
+    kind = KIND[raw]
+    alnum = kind > 0
+    turns = np.flatnonzero(np.diff(alnum, prepend=False, append=False))
+    starts, sizes = turns[::2], turns[1::2] - turns[::2]
+    n, offsets = len(starts), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    ends = np.searchsorted(starts, edges - edges[0] + np.arange(len(edges)))  # tokens before each text's begin
+    own, low = (pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(x)) for x in (raw[alnum], LOWER[raw[alnum]]))
+    upper = np.flatnonzero((np.maximum.reduceat(kind[alnum], offsets[:-1]) == UPPER) & (sizes > 1)) if n else np.empty(0, int)
+    alnum[turns[1::2][turns[1::2] < len(raw)]] = True  # one sign between tokens
+    joined = np.concatenate([[32], SPACED[raw[alnum]], [32]]).astype(np.uint8)
+    words, at, what = [], [upper + 1], [np.arange(len(upper)) + n]
+    some = np.flatnonzero(np.isin(sizes, [len(a) for a in expansions]))
+    known = pc.index_in(low.take(pa.array(some)), value_set=pa.array([*expansions], pa.string())).fill_null(-1).to_numpy()
+    for k, (acronym, phrase) in enumerate(expansions.items()):
+        hits = some[known == k]
+        at.append(np.repeat(hits + 1, len(phrase)))
+        what.append(np.tile(np.arange(len(phrase)) + n + len(upper) + len(words), len(hits)))
+        words += phrase
+    for acronym, phrase in expansions.items():
+        first = np.array(_places(joined.tobytes(), f" {' '.join(phrase)} ".encode()), int)
+        first = np.searchsorted(offsets[:-1] + np.arange(n), first)
+        of = np.searchsorted(ends, first, "right")
+        rows = np.unique(of[first + len(phrase) <= ends[of]])
+        at.append(ends[rows])
+        what.append(np.full(len(rows), n + len(upper) + len(words)))
+        words.append(acronym)
+    at, what = np.concatenate(at), np.concatenate(what)
+    if not len(at):
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), low)
+    every = pa.concat_arrays([low, own.take(pa.array(upper)), pa.array(words, pa.string())]).take(pa.array(np.insert(np.arange(n), at, what)))
+    added = np.bincount(np.searchsorted(ends, at), minlength=len(ends))  # what stands after a token belongs to its text
+    return pa.ListArray.from_arrays(pa.array(ends + np.cumsum(added), pa.int32()), every)
+
+
+def _places(whole: bytes, part: bytes) -> list[int]:
+    out, at = [], whole.find(part)
+    while at >= 0:
+        out.append(at)
+        at = whole.find(part, at + 1)
+    return out
 
 
 def sparse_tokens(text: Column, expansions: Mapping[str, Sequence[str]] = EXPANSIONS) -> Column:
     """Lower-case ASCII tokens; an acronym also as written; a known one also as its phrase's words; and
     for each known phrase among the tokens its acronym, once, at the end."""
-    raw = _raw(text)
+    expansions = dict(expansions)
 
-    def grown(token: Column) -> Column:
-        low = F.lower(token)
-        own = F.when(is_acronym(token), F.array(token)).otherwise(_none())
-        words = F.when(low.isin(*expansions), F.try_element_at(_known(expansions), low)).otherwise(_none()) if expansions else _none()
-        return F.concat(F.array(low), own, words)
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            parts = [_rows_tokens(b.slice(low, TEXTS), expansions) for low in range(0, len(b), TEXTS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
-    return F.concat(F.flatten(F.transform(raw, grown)), *_phrases(F.transform(raw, F.lower), expansions))
+    return cut(text)
 
 
-def sparse_bag(text: Column, expansions: Mapping[str, Sequence[str]] = EXPANSIONS) -> Column:
-    """The tokens of sparse_tokens in another order: counts are all that scoring needs, and only the few
-    acronyms are looked at one by one."""
-    lower = F.transform(_raw(text), F.lower)
-    parts = [lower, F.filter(_raw(text), is_acronym)]
-    if expansions:
-        parts.append(F.flatten(F.transform(F.filter(lower, lambda t: t.isin(*expansions)), lambda t: F.try_element_at(_known(expansions), t))))
-    return F.concat(*parts, *_phrases(lower, expansions))
+#: Counts are all that scoring needs.
+sparse_bag = sparse_tokens

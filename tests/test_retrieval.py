@@ -134,3 +134,28 @@ def test_trace(spark):
     hits = spark.createDataFrame([(1, 0, "q0", 2, 5), (1, 0, "q0", 1, 4), (1, 1, "q1", 1, 4)], "query_id long, ordinal int, query string, rank int, k long").withColumn("doc", F.struct("k"))
     r = fusion.diagnostics(hits, hits.where("ordinal = 1").select("query_id", "rank", "doc")).first()
     assert list(r.generated_queries) == ["q0", "q1"] and [x["rank"] for x in r.retrieved_by_query[0].results] == [1, 2] and r.final_reranked[0].doc.k == 4
+
+
+def test_tokens_of_a_batch_are_those_of_each_text(spark):
+    """Texts are cut together: no token, phrase or acronym may reach over the end of a text, and plain Python agrees."""
+    import random
+    import re
+
+    r = random.Random(5)
+    parts = ["build", "to", "order", "hdb", "HDB", "Mop", "CPF", "A", "A1", "1A", "12", "flat", "eligibility", "café", "你好", "x‑y", "sale of balance flats", "executive", "condominium", "İec"]
+    texts = [None, "", " ", "build", "to order", "hdb", *("".join(r.choice(parts) + r.choice([" ", " ", "-", "", "\n", "—"]) for _ in range(r.randint(0, 12))) for _ in range(1500))]
+
+    def plain(t):
+        raw = re.findall("[A-Za-z0-9]+", t or "")
+        out = [y for x in raw for y in (x.lower(), *([x] if len(x) > 1 and x == x.upper() and re.search("[A-Z]", x) else []), *EXPANSIONS.get(x.lower(), ()))]
+        return out + [a for a, p in EXPANSIONS.items() if f" {' '.join(p)} " in f" {' '.join(raw).lower()} "]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = dict(rows.select("i", sparse_tokens(F.coalesce("t", F.lit(""))).alias("x")).collect())
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_tokens_are_cut_in_one_pass(spark):
+    """Array functions of the plan looked at every text once for each phrase and token."""
+    plan = spark.range(1).select(sparse_tokens(F.lit("a b"))).select("*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 0
