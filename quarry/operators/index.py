@@ -1,8 +1,8 @@
 """A stored BM25 index: built once, changed by segments, read by the buckets of the terms that are asked for.
 
-    postings/segment=s/bucket=b   term, block, docs [doc_id, tf, dl], best [tf, dl]
+    postings/segment=s/bucket=b   term, block, docs [doc_id, tf, dl], best [tf, dl]     (made of docs when a search first needs them)
     terms/segment=s               bucket, term, df      (a deletion's are negative: frequencies are sums over all segments)
-    docs/segment=s                doc_id, dl
+    docs/segment=s                doc_id, dl, terms, tfs
     gone/segment=s                doc_id        (of segments before s)
     versions/v<n>                 the segments that count, and the corpus statistics
 
@@ -13,14 +13,16 @@ named nowhere; `clean` removes it), a reader keeps the version it opened.
 
 Search (block maxima, two rounds in one plan): tasks own ranges of documents. In the first round a task scores for each query only its
 block with the highest bound, which gives every query a k-th score to beat; in the second a block is scored for
-those queries alone whose bound reaches their k-th score. Results are exact.
+those queries alone whose bound reaches their k-th score. Results are exact. Where the terms asked for hold much of the corpus (passages of
+common words) no block can be skipped: documents are then scored where they lie, in one pass that shuffles the best of each task alone.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +35,65 @@ from quarry.operators import bm25
 from quarry.operators.bm25 import K1, B, EPSILON
 from quarry.sources.shared import Versions, fingerprint, shared_folder, store_of, written
 
-#: Documents of a block at most (on average), and of a task's range; blocks of a file; bits of the hash that places a document.
-BLOCK, RANGE, FILE_BITS, BITS = 128, 8192, 14, 30
+#: Documents of a block at most (on average), and of a task's range; bits of the hash that places a document.
+BLOCK, RANGE, BITS = 128, 8192, 30
 #: Query terms that a task holds at once, queries of one product.
 TERMS_HELD, QUERIES = 1_000_000, 512
 BUCKETS = 16
+#: Documents of a batch that is counted or scored at one time, and of a group that is inverted by one task.
+SLICE, GROUP = 256, 2048
+#: A pass over the documents is taken where the terms asked for hold more than one in PASSED tokens; weights at most; scores that a task holds.
+PASSED, MATRIX, POOL = 8, 1 << 23, 100_000
 #: Scores are compared as rounded to so many digits.
 DIGITS = 9
 
 
+def _cut(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of lists one after the other, and each one's row."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+
+
 def counted(tokens: DataFrame) -> DataFrame:
-    """doc_id, dl, entries [term, tf] in order of term: each document's own tokens sorted and counted in its row, without a shuffle."""
-    s = F.col("s")
-    rows = tokens.select("doc_id", F.sort_array("tokens").alias("s"), F.size("tokens").alias("dl"))
-    starts = F.when(F.col("dl") > 0, F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("doc_id", "dl", "s", starts.alias("at"))
-    rows = rows.select("doc_id", "dl", "s", "at", F.concat(F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), F.array("dl")).alias("to"))
-    entries = F.zip_with(F.col("at"), F.slice("to", 1, F.size("at")), lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).alias("tf")))
-    return rows.select("doc_id", "dl", entries.alias("entries"))
+    """doc_id, dl, terms, tfs in order of term: each document's own tokens counted in its batch, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), SLICE):
+                b = batch.slice(low, SLICE)
+                flat, row = _cut(b.column(1))
+                coded = flat.dictionary_encode()
+                order = pc.sort_indices(coded.dictionary).to_numpy()
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                key, tf = np.unique(row * max(1, len(rank)) + (rank[coded.indices.to_numpy()] if len(flat) else row), return_counts=True)
+                offsets = pa.array(np.searchsorted(key, np.arange(len(b) + 1) * max(1, len(rank))), pa.int32())
+                terms = coded.dictionary.take(pa.array(order[key % max(1, len(rank))])) if len(order) else coded.dictionary
+                dl = b.column(1).value_lengths().fill_null(0)
+                yield pa.RecordBatch.from_arrays([b.column(0), dl, pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))], names=["doc_id", "dl", "terms", "tfs"])
+
+    return tokens.select("doc_id", "tokens").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, dl int, terms array<string>, tfs array<int>")
+
+
+def inverted(docs: pa.Table) -> pa.Table:
+    """term, block, docs, best of doc_id, dl, terms, tfs, block."""
+    docs = docs.take(pc.sort_indices(docs.column("doc_id"))).combine_chunks()
+    one = {c: docs.column(c).combine_chunks() for c in docs.column_names}
+    flat, row = _cut(one["terms"])
+    coded = flat.dictionary_encode()
+    tf, dl, block = one["tfs"].flatten().to_numpy(), one["dl"].to_numpy(), one["block"].to_numpy().astype(np.int64)
+    key = block[row] * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, row, tf = key[order], row[order], tf[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    offsets = pa.array(np.append(starts, len(key)), pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([one["doc_id"].take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32())], ["doc_id", "tf", "dl"]))
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+    order = np.lexsort((dl[row], -tf, of))
+    of, tf, least = of[order], tf[order], dl[row][order]
+    top = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(tf, prepend=0) != 0))
+    best = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[top], np.arange(len(starts) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(tf[top], pa.int32()), pa.array(least[top], pa.int32())], ["tf", "dl"]))
+    n = max(1, len(coded.dictionary))
+    return pa.table([coded.dictionary.take(pa.array(key[starts] % n)), pa.array(key[starts] // n, pa.int32()), lists, best], names=["term", "block", "docs", "best"])
 
 
 def place(key: Column) -> Column:
@@ -93,8 +136,7 @@ class Bm25Index:
         """Rewrites what is left as one segment. Older versions stay readable until `clean`."""
         if not self.now["segments"]:
             return
-        entries = self.postings().groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("entries"))
-        rows = self.lengths().join(entries.drop("dl"), "doc_id", "left").select("doc_id", "dl", F.coalesce("entries", F.array().cast("array<struct<term:string,tf:int>>")).alias("entries"))
+        rows = self._docs("terms", "tfs")
         now = dict(self.now, segments=[], gone=[], terms=[], n=0, length=0)
         self._add(now, rows, self.now["n"])
         self._commit(now)
@@ -109,24 +151,17 @@ class Bm25Index:
                     store.delete(d.getPath(), True)
 
     def _add(self, now: dict, rows: DataFrame, n: int) -> None:
-        """A segment of doc_id, dl, entries into the record `now`."""
+        """A segment of doc_id, dl, terms, tfs into the record `now`."""
         number, bits = self._number(now), max(0, math.ceil(math.log2(max(1, n) / BLOCK)))
         at = f"segment={number}"
-        one = rows.select("doc_id", "dl", F.shiftright(place(F.col("doc_id")), BITS - bits).alias("block"), F.explode_outer("entries").alias("e"))  # outer: a filter inferred for the inner one would evaluate the entries twice
-        one = one.where("e is not null").select("doc_id", "dl", "block", "e.term", F.col("e.tf").cast("int").alias("tf"), F.pmod(F.xxhash64("e.term"), F.lit(now["buckets"])).cast("int").alias("bucket"))
-        near = one.withColumn("file", F.shiftright("block", FILE_BITS)).repartition("bucket", "file")  # a hot term's postings go to as many files as its documents need
-        grouped = near.groupBy("bucket", "file", "term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"))
-        ordered = F.sort_array(F.transform("docs", lambda d: F.struct((-d["tf"]).alias("t"), d["dl"].alias("dl"))))
-        shown = grouped.withColumn("o", ordered).withColumn("best", F.filter("o", lambda x, i: (i == 0) | (F.get(F.col("o"), i - 1)["t"] != x["t"])))
-        shown = shown.select("bucket", "term", "block", "docs", F.transform("best", lambda x: F.struct((-x["t"]).alias("tf"), x["dl"].alias("dl"))).alias("best"))
-        shown.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
-        posted = self.spark.read.parquet(f"{self.path}/postings/{at}").groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df")) if self._has(f"postings/{at}") else None
-        if posted is not None:
-            self._write_terms(posted, number)
+        key = rows.schema["doc_id"].dataType.simpleString()
+        rows.write.parquet(f"{self.path}/docs/{at}")
+        docs = self.spark.read.schema(f"doc_id {key}, dl int, terms array<string>, tfs array<int>").parquet(f"{self.path}/docs/{at}")
+        length = int(docs.agg(F.sum("dl")).first()[0] or 0)
+        if length:
+            self._write_terms(docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", self._bucket()), number)
             now["terms"] = [*now["terms"], number]
-        rows.select("doc_id", "dl").write.parquet(f"{self.path}/docs/{at}")
-        length = self.spark.read.parquet(f"{self.path}/docs/{at}").agg(F.sum("dl")).first()[0]
-        now.update(segments=[*now["segments"], {"id": number, "bits": bits, "posted": posted is not None}], next=number + 1, n=now["n"] + n, length=now["length"] + int(length or 0), key=rows.schema["doc_id"].dataType.simpleString())
+        now.update(segments=[*now["segments"], {"id": number, "bits": bits, "posted": length > 0}], next=number + 1, n=now["n"] + n, length=now["length"] + length, key=key)
 
     def _without(self, keys: DataFrame) -> dict:
         """The record without those keys: they are listed, and what they held is counted off."""
@@ -138,7 +173,7 @@ class Bm25Index:
         left = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         if not left["n"]:
             return dict(now, next=number + 1)
-        lost = self.postings(("bucket",)).join(gone.select("doc_id"), "doc_id", "left_semi").groupBy("bucket", "term").agg((-F.count("*")).alias("df"))
+        lost = self.postings().join(gone.select("doc_id"), "doc_id", "left_semi").groupBy("term").agg((-F.count("*")).alias("df")).withColumn("bucket", self._bucket())
         self._write_terms(lost, number)
         now.update(terms=[*now["terms"], number], gone=[*now["gone"], number], next=number + 1, n=now["n"] - left["n"], length=now["length"] - int(left["length"]))
         return now
@@ -151,10 +186,28 @@ class Bm25Index:
     def _write_terms(self, terms: DataFrame, number: int) -> None:
         terms.sortWithinPartitions("bucket", "term").write.parquet(f"{self.path}/terms/segment={number}")
 
-    def _has(self, part_: str) -> bool:
-        """Whether the folder has data: an empty partitioned table has no schema to read."""
-        store, at = store_of(self.spark, f"{self.path}/{part_}")
-        return any("bucket=" in d.getPath().getName() for d in store.listStatus(at))
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(self.now["buckets"])).cast("int")
+
+    def _inverted(self, segment: dict) -> None:
+        """Writes the lists of a segment, unless they are there: the first reader that asks for them does it. They are moved to
+        their place when they are whole."""
+        place_, making = f"{self.path}/postings/segment={segment['id']}", f"{self.path}/making-{uuid.uuid4().hex}"
+        store, at = store_of(self.spark, place_)
+        if store.exists(at):
+            return
+        bits, key = segment["bits"], self.now["key"]
+        docs = self.spark.read.schema(f"doc_id {key}, dl int, terms array<string>, tfs array<int>").parquet(f"{self.path}/docs/segment={segment['id']}")
+        shifted = lambda b: F.shiftright(place(F.col("doc_id")), BITS - b)
+        groups = min(bits, max(math.ceil(math.log2(self.spark.sparkContext.defaultParallelism)), bits - int(math.log2(GROUP / BLOCK))))
+        dealt = docs.withColumn("block", shifted(bits)).groupBy(shifted(groups).alias("g"))  # whole blocks, of about GROUP documents in all
+        schema = f"term string, block int, docs array<struct<doc_id:{key},tf:int,dl:int>>, best array<struct<tf:int,dl:int>>"
+        shown = dealt.applyInArrow(inverted, schema).withColumn("bucket", self._bucket())
+        shown.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(making)
+        _, made = store_of(self.spark, making)
+        store.mkdirs(at.getParent())
+        if store.exists(at) or not store.rename(made, at):
+            store.delete(made, True)  # another reader was first
 
     def _commit(self, now: dict) -> None:
         before, self.now = self.now, now
@@ -187,6 +240,9 @@ class Bm25Index:
         """segment, bucket, term, block, docs, best; documents that were deleted or replaced are out of docs."""
         key = self.now["key"] or "bigint"
         schema = f"term string, block int, docs array<struct<doc_id:{key},tf:int,dl:int>>, best array<struct<tf:int,dl:int>>, segment long, bucket int"
+        for s in self.now["segments"]:
+            if s["posted"]:
+                self._inverted(s)
         rows = self._read("postings", schema, [s["id"] for s in self.now["segments"] if s["posted"]], buckets)
         if not self.now["gone"]:
             return rows
@@ -198,18 +254,21 @@ class Bm25Index:
         kept = F.when(F.col("lost").isNull(), F.col("docs")).otherwise(F.filter("docs", lambda d: ~F.array_contains("lost", d["doc_id"])))
         return left.withColumn("docs", kept).where(F.size("docs") > 0).select("segment", "bucket", "term", "block", "docs", "best")
 
-    def postings(self, more: tuple[str, ...] = ()) -> DataFrame:
+    def postings(self) -> DataFrame:
         """doc_id, term, tf, dl."""
-        return self._blocks().select(*more, "term", F.explode("docs").alias("d")).select(*more, "d.doc_id", "term", "d.tf", "d.dl")
+        return self._docs(F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select("doc_id", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"), "dl")
+
+    def _docs(self, *more: str | Column) -> DataFrame:
+        key = self.now["key"] or "bigint"
+        rows = self._read("docs", f"doc_id {key}, dl int, terms array<string>, tfs array<int>, segment long", [s["id"] for s in self.now["segments"]])
+        if self.now["gone"]:
+            gone = self._read("gone", f"doc_id {key}, segment long", self.now["gone"]).groupBy("doc_id").agg(F.max("segment").alias("at"))
+            rows = rows.join(gone, "doc_id", "left").where("at is null or segment > at")
+        return rows.select("doc_id", "dl", *more)
 
     def lengths(self) -> DataFrame:
         """doc_id, dl."""
-        key = self.now["key"] or "bigint"
-        rows = self._read("docs", f"doc_id {key}, dl int, segment long", [s["id"] for s in self.now["segments"]])
-        if not self.now["gone"]:
-            return rows.select("doc_id", "dl")
-        gone = self._read("gone", f"doc_id {key}, segment long", self.now["gone"]).groupBy("doc_id").agg(F.max("segment").alias("at"))
-        return rows.join(gone, "doc_id", "left").where("at is null or segment > at").select("doc_id", "dl")
+        return self._docs()
 
     def terms(self, buckets: list[int] | None = None) -> DataFrame:
         """term, df of the terms that some document still has."""
@@ -222,16 +281,34 @@ class Bm25Index:
         return self.terms(buckets).select("term", "df", F.when(raw < 0, EPSILON * self.now["mean"]).otherwise(raw).alias("idf"))
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, list[int]]:
-        """query_id, term, weight of known terms, and the buckets that hold the queries' terms (BUCKETS numbers at most)."""
+        """query_id, term, weight, df of known terms, and the buckets that hold the queries' terms (BUCKETS numbers at most)."""
         asked = written(bm25.query_terms(queries, tokens=self.tokens), "query-terms")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.now["buckets"])).cast("int")
-        buckets = sorted(r[0] for r in asked.select(bucket.alias("b")).distinct().collect())
-        weighed = asked.join(self.idf(buckets), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
+        buckets = sorted(r[0] for r in asked.select(self._bucket().alias("b")).distinct().collect())
+        weighed = asked.join(self.idf(buckets), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"), "df")
         return written(weighed, "query-weights"), buckets
 
+    def _few(self, asked: DataFrame) -> pa.Table | None:
+        """The weights, if a pass over the documents is the shorter way: the terms asked for hold much of the corpus, and the weights of
+        all queries fit a matrix of MATRIX numbers."""
+        each = asked.groupBy("term").agg(F.max("df").alias("df")).agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
+        sizes = asked.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("rows")).crossJoin(each).first()
+        if sizes["df"] * PASSED < self.now["length"] or not sizes["rows"] or sizes["terms"] * sizes["queries"] > MATRIX:
+            return None
+        return asked.select("query_id", "term", "weight").toArrow()
+
+    def _passed(self, few: pa.Table, k: int | None) -> DataFrame:
+        """query_id, doc_id, score by a pass over the documents where they lie; with k, each task's k best of every query alone."""
+        ids = few.column("query_id").combine_chunks().dictionary_encode()
+        run = _passer(ids.dictionary, ids.indices.to_numpy(), few.column("term").combine_chunks(), few.column("weight").to_numpy(), self.avgdl or 1.0, k)
+        key = self.now["key"] or "bigint"
+        kind = "string" if ids.dictionary.type == pa.string() else "long"
+        return self._docs("terms", "tfs").mapInArrow(run, f"query_id {kind}, doc_id {key}, score double")
+
     def scores(self, queries: DataFrame) -> DataFrame:
         """query_id, doc_id, score of every document that shares a term with the query."""
         asked, buckets = self._asked(queries)
+        if (few := self._few(asked)) is not None:
+            return self._passed(few, None)
         rows = self._blocks(buckets).join(asked, "term").select("query_id", "weight", F.explode("docs").alias("d"))
         return rows.select("query_id", "d.doc_id", (F.col("weight") * part(F.col("d.tf"), F.col("d.dl"), F.lit(self.avgdl or 1.0))).alias("p")).groupBy("query_id", "doc_id").agg(F.sum("p").alias("score"))
 
@@ -240,6 +317,19 @@ class Bm25Index:
         is filled up with the first others, at score 0. With counts: query_id, touched, whole instead, the postings of the query's terms
         that were scored and all there are."""
         asked, buckets = self._asked(queries)
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "doc_id")
+        few = None if counts else self._few(asked)
+        found = self._passed(few, k) if few is not None else self._in_rounds(asked.drop("df"), buckets, k, order, counts)
+        if counts:
+            return found
+        if pad:
+            some = self.lengths().select("doc_id").orderBy("doc_id").limit(2 * k)
+            fill = queries.select("query_id").distinct().crossJoin(F.broadcast(some)).select("query_id", "doc_id", F.lit(0.0).alias("score"))  # 2k rows a query
+            found = found.unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+    def _in_rounds(self, asked: DataFrame, buckets: list[int], k: int, order: Window, counts: bool) -> DataFrame:
+        """By the lists of the terms asked for and the bounds of blocks."""
         cores = self.spark.sparkContext.defaultParallelism
         most = max([s["bits"] for s in self.now["segments"]], default=0)
         bits = min(most, max(math.ceil(math.log2(cores)), math.ceil(math.log2(max(1, self.n / RANGE)))))
@@ -257,19 +347,13 @@ class Bm25Index:
             run = _scorer(k, avgdl, first, pa.string() if query_type == "string" else pa.int64(), pa.string() if key == "string" else pa.int64())
             return own_chunk.groupBy("g", "c").cogroup(every.groupBy("g", "c")).applyInArrow(run, f"query_id {query_type if query_type == 'string' else 'long'}, doc_id {key if key == 'string' else 'long'}, score double, touched long, whole long")
 
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "doc_id")
         first = round_(spread.withColumn("beat", F.lit(None).cast("double")), 1).where("doc_id is not null")
         best = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("least"))
         beat = best.select("query_id", F.when(F.col("found") >= k, F.col("least")).alias("beat"))
         found = round_(spread.join(beat, "query_id", "left"), 0)
         if counts:
             return found.groupBy("query_id").agg(F.sum("touched").alias("touched"), F.sum("whole").alias("whole"))
-        found = found.where("doc_id is not null").select("query_id", "doc_id", "score")
-        if pad:
-            some = self.lengths().select("doc_id").orderBy("doc_id").limit(2 * k)
-            fill = queries.select("query_id").distinct().crossJoin(F.broadcast(some)).select("query_id", "doc_id", F.lit(0.0).alias("score"))  # 2k rows a query
-            found = found.unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        return found.where("doc_id is not null").select("query_id", "doc_id", "score")
 
 
 def place_sql() -> str:
@@ -387,10 +471,63 @@ def _scorer(k: int, avgdl: float, first: int, query_type: pa.DataType, key_type:
     return run
 
 
+def _passer(queries: pa.Array, of: np.ndarray, term: pa.Array, weight: np.ndarray, avgdl: float, k: int | None):
+    """Scores documents against a matrix of the weights of all queries, SLICE documents at a time. Query of[i] asks for term[i]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = term.dictionary_encode()
+        w = np.zeros((len(coded.dictionary), len(queries)))
+        w[coded.indices.to_numpy(), of] = weight
+        plain = (weight > 0).all()
+        edge, held, kept = np.full(len(queries), -np.inf), [], 0
+
+        def best(parts: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            q, s, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])
+            place = np.empty(len(doc), np.int64)
+            place[pc.sort_indices(doc).to_numpy()] = np.arange(len(doc))
+            order = np.lexsort((place, -np.round(s, DIGITS), q))
+            rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+            last = order[rank == k - 1]
+            edge[q[last]] = s[last] - 2 * 10.0**-DIGITS
+            keep = order[rank < k]
+            return q[keep], s[keep], doc.take(pa.array(keep))
+
+        def shown(q: np.ndarray, s: np.ndarray, doc: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([queries.take(pa.array(q)), doc, pa.array(s)], names=["query_id", "doc_id", "score"])
+
+        for batch in batches:
+            for low in range(0, len(batch), SLICE):
+                b = batch.slice(low, SLICE)
+                flat, row = _cut(b.column(2))
+                code = pc.index_in(flat, value_set=coded.dictionary).fill_null(-1).to_numpy()
+                own = np.flatnonzero(code >= 0)
+                used, column = np.unique(code[own], return_inverse=True)
+                adds = np.zeros((len(b), len(used)))
+                adds[row[own], column] = part(b.column(3).flatten().to_numpy()[own].astype(float), b.column(1).to_numpy()[row[own]], avgdl)
+                score = w[used].T @ adds.T
+                match = score > 0 if plain else (w[used] != 0).T.astype(float) @ (adds > 0).T.astype(float) > 0
+                q, d = np.nonzero(match & (score >= edge[:, None]))
+                if not len(q):
+                    continue
+                found = q, score[q, d], b.column(0).take(pa.array(d))
+                if k is None:
+                    yield shown(*found)
+                    continue
+                held.append(found)
+                kept += len(q)
+                if kept > POOL:
+                    held = [best(held)]
+                    kept = 0
+        if held:
+            yield shown(*best(held))
+
+    return run
+
+
 def index_of(spark: SparkSession, table: str, key: str = "doc_id", text: str = "text") -> Bm25Index:
     """The index of a Parquet table, kept in the shared folder under the fingerprint of its files: built when it is first asked for, and
     again when the table has changed."""
-    path = f"{shared_folder(spark)}/bm25-{fingerprint(spark, table)}"
+    path = f"{shared_folder(spark)}/bm25-passed-{fingerprint(spark, table)}"
     index = Bm25Index(spark, path)
     if not index.now["version"]:
         store, at = store_of(spark, path)

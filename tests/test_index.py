@@ -147,3 +147,27 @@ def test_index_of_a_table(spark, tmp_path, queries):
     assert index_of(spark, path).now == first.now
     frame(spark, {3: "the cedar"}).write.mode("append").parquet(path)
     assert index_of(spark, path).n == 3 and first.n == 2
+
+
+def test_a_pass_and_the_lists_agree(spark, tmp_path, queries, monkeypatch):
+    """Common words are scored where the documents lie, rare ones by their lists: with equal results, deleted documents left out."""
+    r = random.Random(6)
+    docs = {i: text(r) for i in range(700)}
+    index = Bm25Index(spark, f"file://{tmp_path}/index", buckets=4)
+    index.write(frame(spark, docs))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 700, 9)], "doc_id long"))
+    docs = {k: v for k, v in docs.items() if k % 9}
+    monkeypatch.setattr("quarry.operators.index.POOL", 50)
+    same(spark, index, docs, queries)
+    assert index._few(index._asked(queries)[0]) is not None
+    monkeypatch.setattr("quarry.operators.index.PASSED", 0)
+    assert index._few(index._asked(queries)[0]) is None
+    same(spark, index, docs, queries)
+
+
+def test_scores_of_common_words_shuffle_no_postings(spark, tmp_path, queries):
+    """Every query meets nearly every document: pairs of both must not go through a shuffle to be added up."""
+    index = Bm25Index(spark, f"file://{tmp_path}/index")
+    r = random.Random(7)
+    index.write(frame(spark, {i: text(r) for i in range(200)}))
+    assert "Exchange" not in index.scores(queries)._jdf.queryExecution().executedPlan().toString()
