@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from quarry.functions import splitting
 from quarry.functions import text as T
 
 LINES = "array<struct<line_no:int,line:string,start:long,stop:long>>"
+#: Texts that are cut at one time.
+TEXTS = 256
 CHUNK = "array<struct<chunk_index:int,start:int,end:int,text:string,section_index:int,section_title:string>>"
 
 
@@ -50,13 +55,27 @@ def _lines(text: Column) -> Column:
     """Non-blank lines of the normalised text, whose lines end in \\n: array of line_no, line, start, stop. In the row and linear: offsets
     are running sums, which Spark's array functions build only by copying the array for every line."""
 
-    @F.pandas_udf(LINES)
-    def cut(bodies: pd.Series) -> pd.Series:
-        return pd.Series([_line_spans(b) for b in bodies])
+    @F.arrow_udf(LINES)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            parts = [_lines_of(b.slice(low, TEXTS).to_pylist()) for low in range(0, len(b), TEXTS)]
+            yield pa.concat_arrays(parts) if parts else _lines_of([])
 
     return cut(text)
 
 
+def _lines_of(bodies: list[str | None]) -> pa.ListArray:
+    """The lines of some texts. Those of one text at a time are Python objects, the others are columns."""
+    kinds, offsets, parts = [pa.int32(), pa.string(), pa.int64(), pa.int64()], [0], []
+    for body in bodies:
+        spans = _line_spans(body)
+        offsets.append(offsets[-1] + len(spans))
+        if spans:
+            parts.append([pa.array(c, t) for c, t in zip(zip(*spans), kinds)])
+    columns = [pa.concat_arrays(c) for c in zip(*parts)] if parts else [pa.array([], t) for t in kinds]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["line_no", "line", "start", "stop"]))
+
+
 def _line_spans(text: str | None) -> list[tuple[int, str, int, int]]:
     out, at = [], 0
     for n, raw in enumerate(splitting.normalise(text or "").split("\n")):

@@ -173,3 +173,13 @@ def test_section_of_chunk_against_all_pairs(spark):
         spark.createDataFrame(sections, "doc_id long, section_index int, start long, stop long"),
     )
     assert {(x.doc_id, x.chunk_index): x.section_index for x in got.collect()} == want
+
+
+def test_lines_of_a_batch_are_columns():
+    """A batch of many texts is not held as objects: lines come as columns, text by text."""
+    from quarry.operators import chunking
+
+    texts = [None, "", "  a \n\n b", "one", "x\r\ny\r"] * 3
+    got = chunking._lines_of(texts)
+    assert [[tuple(x.values()) for x in row] for row in got.to_pylist()] == [chunking._line_spans(t) for t in texts]
+    assert got.nbytes < 60 * 24 and chunking._lines_of([]).to_pylist() == []
