@@ -159,3 +159,29 @@ def test_tokens_are_cut_in_one_pass(spark):
     """Array functions of the plan looked at every text once for each phrase and token."""
     plan = spark.range(1).select(sparse_tokens(F.lit("a b"))).select("*")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 0
+
+
+def test_groups_of_queries_are_bounded(spark, monkeypatch):
+    """A block of rows met all queries at one time, so a task's memory grew with their number."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "CHUNK", 8)
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(120)], "vec_id long, embedding array<double>")
+    whole = sorted(vectors.nearest(rows, rows, 3).collect())
+    monkeypatch.setattr(vectors, "CHUNK", 2048)
+    assert [(a.query_id, a["rank"], a.vec_id) for a in whole] == [(a.query_id, a["rank"], a.vec_id) for a in sorted(vectors.nearest(rows, rows, 3).collect())]
+    monkeypatch.setattr(vectors, "CHUNK", 8)
+    asked = vectors.usable(rows, "vec_id", "embedding")
+    dealt, sent = vectors._tiles(asked, asked, 120)
+    assert max(x["count"] for x in sent.groupBy("tile").count().collect()) <= 24 and dealt.count() == 15 * 120
+
+
+def test_queries_of_many_lists_are_not_repeated_in_python(spark):
+    """A batch of queries was copied once for each list probed before it left the task's Python."""
+    import numpy as np
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)] + [(9, [1.0])], "id long, v array<double>")
+    found = vectors.ListIndex._assigned(rows, np.array([[0.0, 1.0], [3.0, 1.0], [6.0, 1.0]]), 2, "l2", 3)
+    assert sorted((x.id, x["list"]) for x in found.collect()) == [(i, c) for i in range(6) for c in range(3)] + [(9, -1)]
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and plan.index("Generate explode") < plan.index("MapInArrow")
