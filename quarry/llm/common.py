@@ -3,30 +3,69 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: texts may be long, so batches stay small enough for a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Functions that empty what modules remember for a worker's next tasks of the same operator; give_back() calls them.
+REMEMBERED: list[Callable[[], None]] = []
 
 
 def keep_heap() -> None:
     """Have this Python worker keep freed memory up to 1 GB for its next arrays: numpy's temporary ones else cost more
     in page faults than in arithmetic. Does nothing where the C library has no such setting."""
+    _tune(32 << 20, 1 << 30, 64 << 20)
+
+
+def give_back() -> None:
+    """End keep_heap() and give freed memory back: Spark hands this worker on to later tasks, of other operators too, and
+    what one operator has kept would count beside the memory of all that follow."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for empty in REMEMBERED:
+        empty()
+    pa.default_memory_pool().release_unused()
+    _tune(128 << 10, 128 << 10, 128 << 10)
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+def _tune(*values: int) -> None:
     import ctypes
 
     try:
         tune = ctypes.CDLL(None).mallopt
     except (OSError, AttributeError):
         return
-    for name, value in ((-3, 32 << 20), (-1, 1 << 30), (-2, 64 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_TOP_PAD
+    for name, value in zip((-3, -1, -2), values):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_TOP_PAD
         tune(name, value)
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of mapInArrow; before a task, and when it has ended and its own variables are gone, freed memory is given back."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by whatever store Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -109,6 +148,7 @@ def filtered(docs: DataFrame, scores, keep) -> DataFrame:
 
     at = docs.columns.index("text")
 
+    @giving_back
     def run(batches):
         score = scores()
         for b in batches:

@@ -32,10 +32,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, forget, written
+from quarry.llm.common import bounded_batches, forget, giving_back, written
 from quarry.llm.components import connected
 from quarry.llm.simhash import fingerprint
 
@@ -44,6 +44,7 @@ WORDS = 5
 SHARED, APART = 3, 12
 #: Counters of shingles, of a block of them; tasks whose counts are added up by one group.
 COUNTERS, BLOCK, FAN = 1 << 23, 1 << 18, 32
+NAMES = ["block", "part", "v", "least", "total"]
 #: Members of a list that gives all pairs at once; nodes that are broadcast.
 SHORT, LOOKED_UP = 3, 200_000
 #: Members of a list that is not narrowed.
@@ -103,7 +104,12 @@ def counted(numbered: DataFrame) -> DataFrame:
 
     A task counts its own texts; counts of FAN tasks at most meet in one group, then those of FAN such groups, until one is left.
     """
+    kept = "block int, part int, v binary, least long, total long"
 
+    def rows_of(block: list[int], part: list[int], counts: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.array(map(narrow, counts), pa.binary()), *(pa.array([int(f(x.astype(np.int64))) for x in counts], pa.int64()) for f in (np.min, np.sum))]
+
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -113,25 +119,20 @@ def counted(numbered: DataFrame) -> DataFrame:
                 np.add.at(held, counter(shingle_set(t), COUNTERS), 1)
         for block, own in enumerate(held.reshape(-1, BLOCK)):
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([narrow(own)], pa.binary())], names=["block", "part", "v"])
+                yield pa.RecordBatch.from_arrays(rows_of([block], [part], [own]), names=NAMES)
 
     def added(key, rows):
         out = np.zeros(BLOCK, np.uint64)
         for v in rows.column("v"):
             out += widened(v.as_buffer().to_pybytes(), BLOCK)
-        return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([narrow(out)], pa.binary())], names=["block", "part", "v"])
-
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            each = [widened(v, BLOCK).astype(np.int64) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([int(x.min()) for x in each], pa.int64()), pa.array([int(x.sum()) for x in each], pa.int64())], names=["block", "v", "least", "total"])
+        return pa.table(rows_of(*([k.as_py()] for k in key), [out]), names=NAMES)
 
-    parts = written(numbered.select("text").mapInArrow(run, "block int, part int, v binary"), "near-counts")
+    parts = written(numbered.select("text").mapInArrow(run, kept), "near-counts")
     left, sums = (parts.agg(F.max("part")).first()[0] or 0) + 1, parts
     while left > 1:
-        sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(added, "block int, part int, v binary")
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(added, kept)
         left = -(-left // FAN)
-    table = written(sums.select("block", "v").mapInArrow(summary, "block int, v binary, least long, total long"), "near-counters")
+    table = written(sums.select("block", "v", "least", "total"), "near-counters")
     forget(parts)
     return table
 
@@ -145,6 +146,7 @@ def rarity(numbered: DataFrame) -> np.ndarray:
     least = one.least if one.n == COUNTERS // BLOCK else 0
     unit = max(1.0, ((one.total or 0) / COUNTERS) ** 0.5 / 4)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -163,6 +165,7 @@ def rarity(numbered: DataFrame) -> np.ndarray:
 def prefixes(numbered: DataFrame, codes: np.ndarray) -> DataFrame:
     """rid, doc_id, node (hash of the set), n, sketch, fp, first (the shingles it is posted under) of every row."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -187,9 +190,12 @@ def fingerprint_pairs(reps: DataFrame) -> DataFrame:
     masks = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), SHARED)]
     keys = F.array(*(F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("shared")) for k, m in enumerate(masks)))
     dealt = reps.where("n > 1").select("node", "fp").repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lists = dealt.select("node", "fp", F.explode(keys).alias("p")).groupBy("p.k", "p.shared").agg(F.sort_array(F.collect_list(F.struct("fp", "node"))).alias("m")).where("size(m) > 1")
-    met = lists.select(F.expr("explode(concat(transform(sequence(1, size(m) - 1), i -> struct(m[i - 1] as x, m[i] as y)), transform(sequence(1, size(m) - 1), i -> struct(m[0] as x, m[i] as y)))) as p"))
-    return met.where(F.bit_count(F.col("p.x.fp").bitwiseXOR(F.col("p.y.fp"))) <= APART).select(F.least("p.x.node", "p.y.node").alias("a"), F.greatest("p.x.node", "p.y.node").alias("b")).distinct()
+    posted = dealt.select("node", "fp", F.explode(keys).alias("p")).select("node", "fp", "p.shared", "p.k")
+    # most lists have one member: a sort finds that without an object for each list
+    own, each = F.struct("fp", "node"), Window.partitionBy("shared", "k").orderBy("fp", "node")
+    beside = posted.select(own.alias("y"), F.lag(own).over(each).alias("before"), F.first(own).over(each).alias("least")).where("before is not null")
+    met = beside.select("y", F.explode(F.array("before", "least")).alias("x"))
+    return met.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= APART).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def short_pairs(which: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -242,6 +248,7 @@ def candidates(lists: DataFrame, tried: int) -> DataFrame:
             for _, a, b in long_pairs(node[own], n[own], place[own], root[own], 0, tried):
                 yield a, b
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, held = [], [], 0
         for batch in batches:
@@ -261,6 +268,7 @@ def candidates(lists: DataFrame, tried: int) -> DataFrame:
 def unfinished(lists: DataFrame, tried: int) -> DataFrame:
     """s, node, n, place: the members that lists still have pairs to give of after candidates()."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[np.empty(0, np.int64)] for _ in range(4)]
@@ -292,6 +300,7 @@ def sets_of(nodes: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame
     """nodes (node and other longs) with s, the whole set."""
     own = nodes.columns
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t) for t in b.column(0).to_pylist()]
@@ -335,6 +344,7 @@ def verified(pairs: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFram
     """The pairs a, b whose whole sets are similar. reps: node, the row (rid) that stands for it, n, sketch."""
     of = {k: reps.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"}
 
+    @giving_back
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a_b, (n, m, x, y) = b.select(["a", "b"]), (b.column(k).to_pylist() for k in ("n_a", "n_b", "sketch_a", "sketch_b"))
@@ -368,7 +378,9 @@ def near_groups(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = connected(verified(prints, numbered, reps))
     once = rows.groupBy("node").agg(F.min(F.struct("rid", "n", "first")).alias("x"))
     posted = once.join(roots, "node", "left").select("node", "x.n", "root", F.posexplode("x.first").alias("place", "s"))
-    lists = written(gathered(posted), "near-lists")
+    # most shingles of prefixes are in one text: they leave before lists are made
+    met = posted.withColumn("members", F.count("*").over(Window.partitionBy("s"))).where("members > 1").drop("members")
+    lists = written(gathered(met), "near-lists")
     pairs, tried = prints, 0
     while not lists.isEmpty():
         more = written(candidates(lists, tried).join(pairs, ["a", "b"], "left_anti"), "near-pairs")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import bounded_batches, texts
+from quarry.llm.common import REMEMBERED, bounded_batches, texts
 
 SPACE = "▁"
 #: Every byte that is no UTF-8 becomes a replacement character of its own.
@@ -208,6 +208,9 @@ def encoder(model_file: str) -> PrefixTableEncoder:
     return PrefixTableEncoder(model_file)
 
 
+REMEMBERED.append(encoder.cache_clear)
+
+
 def encode_pieces(docs: DataFrame, model_file: str, with_ids: bool = True) -> DataFrame:
     """doc_id, ids array<int> (with the end id), decoded string; without with_ids their digests instead:
     n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256."""

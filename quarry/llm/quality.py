@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, filtered, forget, keep_heap, texts, written
+from quarry.llm.common import bounded_batches, filtered, forget, giving_back, keep_heap, texts, written
 from quarry.llm.labelled import labelled_sample
 
 PER_CLASS = 4000
@@ -227,6 +227,7 @@ def tallied(docs: DataFrame, bags: bool) -> DataFrame:
     sums_schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("v", pa.binary()), ("doc_id", pa.int64())])
     schema = pa.schema([*sums_schema, *((c.split()[0], pa.int64() if c.endswith("long") else pa.binary()) for c in BAG.split(", "))])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -344,6 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "quali
     vectors = word_vectors(docs, tally)
     sample, totals = labelled_sample(docs, labels, label, trained, per_class)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units()
         for b in batches:
@@ -375,6 +377,7 @@ def quality(docs: DataFrame, vectors: np.ndarray, network: Network, keep: Callab
 
     if tally is not None:
 
+        @giving_back
         def of_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep_heap()
             for b in batches:
@@ -382,6 +385,7 @@ def quality(docs: DataFrame, vectors: np.ndarray, network: Network, keep: Callab
 
         return tally.where("block is null").select("doc_id", *BAG_NAMES).mapInArrow(of_bags, "doc_id long, score double")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
         units = Units()
