@@ -47,8 +47,9 @@ COUNTERS, BLOCK, FAN = 1 << 23, 1 << 18, 32
 NAMES = ["block", "part", "v", "least", "total"]
 #: Members of a list that gives all pairs at once; nodes that are broadcast.
 SHORT, LOOKED_UP = 3, 200_000
-#: Members of a list that is not narrowed.
+#: Members of a list that is not narrowed; places of shingles that stand in several components: blocks, and places of each.
 LONG = 16
+BLOCKS, PLACES = 1 << 6, 1 << 20
 #: Rounds after which a list has given every pair, whatever its length.
 ALL = 31
 
@@ -314,14 +315,61 @@ def sets_of(nodes: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame
     return sets
 
 
+def shared_places(sets: DataFrame) -> np.ndarray:
+    """Bits, packed: whether shingles of a place, by their hash, stand in sets (root, s) of two roots or more. Of fixed size.
+
+    What the sets of a batch have in common is merged there; a row is a block of places, not a shingle. Shingles are told apart by
+    the whole hash; those that share a place only add to what seems to be shared.
+    """
+
+    def least_most(s: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((s, s & (BLOCKS - 1)))
+        s, low, high = s[order], low[order], high[order]
+        begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        return s[begin], np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            if not len(s):
+                continue
+            root = np.repeat(b.column(0).to_numpy(zero_copy_only=False), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            merged_ = least_most(s, root, root)
+            block, begin = np.unique(merged_[0] & (BLOCKS - 1), return_index=True)
+            cut = list(zip(begin.tolist(), [*begin[1:].tolist(), len(merged_[0])]))
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in merged_)], names=["block", "s", "low", "high"])
+
+    def marked(key, rows):
+        s, low, high = least_most(*(np.frombuffer(b"".join(rows.column(k).to_pylist()), np.int64) for k in ("s", "low", "high")))
+        bits = np.zeros(PLACES, bool)
+        bits[(s[low != high] >> (BLOCKS.bit_length() - 1)) & (PLACES - 1)] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    blocks = sets.select("root", "s").mapInArrow(run, "block int, s binary, low binary, high binary").groupBy("block").applyInArrow(marked, "block int, v binary")
+    out = np.zeros((BLOCKS, PLACES // 8), np.uint8)
+    for row in blocks.toLocalIterator():  # BLOCKS rows at most
+        out[row.block] = np.frombuffer(row.v, np.uint8)
+    return out
+
+
 def elsewhere(lists: DataFrame, numbered: DataFrame, reps: DataFrame) -> DataFrame:
-    """node, most: how many members of its set stand in sets of other components too, of nodes of the lists."""
+    """node, most: how many members of its set stand in sets of other components too, at most, of nodes of the lists."""
     open_ = lists.select(F.explode("members").alias("m")).select("m.node", F.coalesce("m.root", "m.node").alias("root")).distinct()
     sets = sets_of(open_, numbered, reps)
-    # five bytes of a hash are enough: where two hashes meet, most is only larger
-    each = sets.select("node", "root", F.explode("s").alias("s")).select("node", "root", F.col("s").bitwiseAND((1 << 40) - 1).alias("s"))
-    common = each.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
-    found = written(each.select("node", "s").join(common, "s").groupBy("node").agg(F.count("*").cast("int").alias("most")), "near-elsewhere")
+    places = shared_places(sets)
+
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            at = (s >> (BLOCKS.bit_length() - 1)) & (PLACES - 1)
+            hit = places[s & (BLOCKS - 1), at >> 3] >> (at & 7).astype(np.uint8) & 1
+            ends = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            most = np.diff(np.r_[0, np.r_[0, np.cumsum(hit, dtype=np.int64)][ends]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(most, pa.int32())], names=["node", "most"])
+
+    found = written(sets.select("node", "s").mapInArrow(run, "node long, most int").where("most > 0"), "near-elsewhere")
     forget(sets)
     return found
 
