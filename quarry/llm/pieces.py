@@ -7,7 +7,7 @@ is, whose concatenation the merges would leave as this pair. Ids are then recove
 backwards. Linear in the text; no priority queue over the text is kept.
 
 Merges never cross two adjacent characters that no piece has side by side, so a text falls apart into
-units there; a worker keeps the ids of units it has met (bounded).
+units there; a worker keeps the ids of units it has met (bounded: two generations of them).
 
 Defined results: a null text counts as empty; an empty text has the end id alone and decodes to
 the empty text; repeated rows each give a row; extra columns are ignored; an empty table gives none.
@@ -77,6 +77,7 @@ class PrefixTableEncoder:
         chars = {c for piece in self.score for c in piece}
         if not chars <= self.score.keys():
             raise ValueError("a piece has a character that is no piece")
+        self.chars = chars
         self.automaton = ahocorasick.Automaton()
         #: By id, the merges that make a piece: (score, its last symbol, its first symbol) after each.
         self.steps: list[list[tuple[float, str, str]]] = [[] for _ in model.pieces]
@@ -90,7 +91,8 @@ class PrefixTableEncoder:
         for piece, i in self.id.items():
             self.length[i] = len(piece)
         self.fits: dict[int, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The merges on a short text: best score first, leftmost of equals."""
@@ -130,7 +132,7 @@ class PrefixTableEncoder:
                 return across is None
 
     def part_ids(self, part: str) -> list[int]:
-        """The prefix table of a text, read backwards."""
+        """The prefix table of a text, read backwards. Every character is a piece, or it is one character."""
         n = len(part)
         if n == 1:
             piece = self.id.get(part)
@@ -158,32 +160,47 @@ class PrefixTableEncoder:
         return out[::-1]
 
     def unit_ids(self, unit: str) -> list[int]:
-        ids: list[int] = []
-        begin, beside, cache = 0, self.beside, self.cache
+        """Characters at the end that nothing can merge with stand alone, so that a word with signs after it is known as the word."""
+        stop, beside = len(unit), self.beside
+        while stop > 1 and unit[stop - 2 : stop] not in beside:
+            stop -= 1
+        if stop < len(unit):
+            ids = [*self.remembered(unit[:stop])]
+            for c in unit[stop:]:
+                ids += self.remembered(c)
+            return ids
+        if self.chars.issuperset(unit):
+            return self.part_ids(unit)
+        ids, begin = [], 0
         for i in range(1, len(unit) + 1):
             if i == len(unit) or unit[i - 1] + unit[i] not in beside:
-                part, begin = unit[begin:i], i
-                known = cache.get(part)
-                if known is None:
-                    known = self.part_ids(part)
-                    if len(part) <= LONGEST_CACHED:
-                        cache[part] = known
-                ids += known
+                ids += self.part_ids(unit[begin:i])
+                begin = i
         return ids
 
+    def remembered(self, unit: str) -> tuple[int, ...]:
+        """The ids of a unit, kept in two generations: where there would be too many, those go that the younger one has not met."""
+        found = self.cache.get(unit)
+        if found is None:
+            found = self.older.get(unit)
+            if found is None:
+                found = tuple(self.unit_ids(unit))
+            if len(unit) <= LONGEST_CACHED:
+                if len(self.cache) >= CACHE_UNITS:
+                    self.older, self.cache = self.cache, {}
+                self.cache[unit] = found
+        return found
+
     def encode(self, text: str) -> list[int]:
         """Ids with the end id."""
         ids: list[int] = []
         if text:
-            cache = self.cache
-            if len(cache) > CACHE_UNITS:
-                cache.clear()
+            get = self.cache.get
             for unit in self.units.findall(SPACE + text.replace(" ", SPACE)):
-                known = cache.get(unit)
+                known = get(unit)
                 if known is None:
-                    known = self.unit_ids(unit)
-                    if len(unit) <= LONGEST_CACHED:
-                        cache[unit] = known
+                    known = self.remembered(unit)
+                    get = self.cache.get
                 ids += known
         ids.append(self.end_id)
         return ids

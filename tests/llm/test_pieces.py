@@ -54,3 +54,17 @@ def test_frames(spark):
         assert got[key].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert encode_pieces(docs.limit(0), MODEL).count() == 0
     assert encode_pieces(docs.where("doc_id = 1"), MODEL).first().ids == LIB.encode("Hello world", add_eos=True)
+
+
+def test_frequent_units_outlive_a_full_cache(monkeypatch):
+    """All units went when there were too many, so frequent ones were encoded again each time: 41 here, not 2."""
+    from quarry.llm import pieces
+
+    monkeypatch.setattr(pieces, "CACHE_UNITS", 40)
+    own, asked = PrefixTableEncoder(MODEL), []
+    part_ids = own.part_ids
+    monkeypatch.setattr(own, "part_ids", lambda part: asked.append(part) or part_ids(part))
+    text = " ".join(f"often oft, wor{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]} often." for k in range(400))
+    assert own.encode(text) == LIB.encode(text, add_eos=True)
+    assert asked.count("▁often") <= 2 and asked.count(",") <= 2
+    assert len(own.cache) <= 40 and len(own.older) <= 40
