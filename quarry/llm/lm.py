@@ -44,6 +44,8 @@ HEAD = FAN**3 - TAILS - 1
 STEP, FIRST, NOISE, RATE, HELD_WORDS = 8192, 16, 2, 0.15, 400_000
 #: Tokens of a training group, groups at most, positions scored at once, rows of an averaged block.
 GROUP, GROUPS, CHUNK, BLOCK = 3_000_000, 1024, 131_072, 4096
+#: Bytes of texts that are split at once: several numbers a byte then stay in a core's cache.
+CACHED = 1 << 20
 END, NEVER = 0, -30.0
 LOG10 = np.log(10.0)
 
@@ -63,7 +65,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             counts.clear()
 
         for b in batches:
-            for _, ids, words in word_ids(b.column(0)):
+            for _, ids, words in word_ids(b.column(0), most=CACHED):
                 for w, c in zip(words, np.bincount(ids, minlength=len(words)).tolist()):
                     counts[w] = counts.get(w, 0) + c
                 if len(counts) > HELD_WORDS:
@@ -398,7 +400,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, ends: int) -> DataFrame:
         get = words.get
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for sizes, local, some in word_ids(b.column(2)):
+            for sizes, local, some in word_ids(b.column(2), most=CACHED):
                 leaf = np.fromiter(map(get, some, repeat(-1)), np.int32, len(some))
                 new = np.flatnonzero(leaf < 0)
                 unknown = np.zeros(len(some), bool)

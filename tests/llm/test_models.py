@@ -265,3 +265,36 @@ def test_summed():
         edge = np.unique(np.r_[0, r.integers(0, n, r.integers(0, 60))])
         x = r.normal(size=(n, 3)).astype(np.float32)
         assert np.allclose(lm.summed(x, edge, np.diff(np.r_[edge, n])), np.add.reduceat(x, edge, axis=0), atol=1e-4)
+
+
+def test_words_are_split_in_pieces_that_a_cache_holds(spark, monkeypatch):
+    """Pieces of 4 MB were split at once, 32 MB an array; the counts must not depend on the pieces."""
+    asked = []
+
+    def noted(texts, fold=True, most=None):
+        asked.append(most)
+        return word_ids(texts, fold, most)
+
+    monkeypatch.setattr(lm, "word_ids", noted)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"w{k % 7} W{k % 3}, x" for k in range(400)])], names=["text"])
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.rows = [(r["word"], r["c"]) for b in run(iter([batch])) for r in b.to_pylist()]
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, *_):
+            return self.rows
+
+    want = dict(Counter(w for t in batch.column(0).to_pylist() for w in t.lower().split()))
+    assert dict(lm.count_words(Docs())) == want and max(asked) <= 1 << 20
+    monkeypatch.setattr(lm, "CACHED", 64)
+    assert dict(lm.count_words(Docs())) == want
