@@ -43,6 +43,8 @@ from quarry.llm.common import bounded_batches, keep_heap, texts, written
 SHARD_IDS = 2_000_000
 #: Words of one generation that are remembered; parts of words, twice as many; parts that the library sees at once, and as one line.
 CACHE_PARTS, AT_ONCE, LINE = 300_000, 100_000, 16
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 16 << 20
 NULL_KEY = -(2**63)
 SCHEMA = "part int, seq int, first long, last long, n_tokens long, width int, nulls int, keys binary, turns binary, ids binary, levels binary, level_bits binary, prints binary, offsets binary, lengths binary"
 
@@ -228,7 +230,7 @@ class WordEncoder:
     def encode(self, texts_: pa.Array, end: bytes) -> list[bytes]:
         """Payloads of the texts, each with the end."""
         out: list[bytes] = []
-        for sizes, local, words in dictionary_words(texts_):
+        for sizes, local, words in dictionary_words(texts_, TOGETHER):
             payloads = self.learn(words)
             length = np.fromiter(map(len, payloads), np.int64, len(payloads)) // self.width
             flat = np.frombuffer(b"".join(payloads), f"<u{self.width}")
@@ -238,7 +240,11 @@ class WordEncoder:
             ids = flat[np.arange(stops[-1]) + np.repeat(begin[local] - stops[:-1], of_each)]
             edge = stops[np.concatenate([[0], np.cumsum(sizes)])].tolist()
             out += [ids[a:z].tobytes() + end for a, z in zip(edge, edge[1:])]
-        for token in self.added:
+        # all hold a sign that few texts have, or none is known: then each is sought
+        marks = set.intersection(*(set(re.sub(r"[A-Za-z]", "", t)) for t in self.added)) if self.added else set()
+        mark = min(marks, default="")
+        none = bool(mark) and not pc.any(pc.match_substring(texts_, mark)).as_py()
+        for token in [] if none else self.added:
             for i in np.flatnonzero(pc.match_substring(texts_, token, ignore_case=True).to_numpy(zero_copy_only=False)).tolist():
                 out[i] = self.ids(texts_[i].as_py()) + end
         return out
@@ -249,6 +255,18 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of several batches, until these have TOGETHER bytes: their texts share most words, each to be looked up once."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        waiting.append(b)
+        if sum(x.nbytes for x in waiting) >= TOGETHER:
+            yield [pa.concat_arrays(c) for c in zip(*(x.columns for x in waiting))]
+            waiting = []
+    if waiting:
+        yield [pa.concat_arrays(c) for c in zip(*(x.columns for x in waiting))]
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """doc_id, ids (the payload of its text and the end) of every row."""
 
@@ -256,8 +274,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
         keep_heap()
         enc = word_encoder(tokenizer)
         end = np.array([end_id], f"<u{enc.width}").tobytes()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.encode(b.column(1), end), pa.binary())], names=["doc_id", "ids"])
+        for keys, some in together(batches):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(enc.encode(some, end), pa.binary())], names=["doc_id", "ids"])
 
     bounded_batches(docs.sparkSession)
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")

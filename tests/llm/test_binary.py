@@ -88,3 +88,18 @@ def test_round_trip(spark, tmp_path):
     assert find_documents(spark, f"{tmp_path}/t", []).count() == 0
     write_tokens(docs.limit(0), f"{tmp_path}/e", PATH)
     assert read_tokens(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_batches_are_looked_up_together(monkeypatch):
+    """Each batch of 1,000 rows looked its words up anew."""
+    import pyarrow as pa
+
+    from quarry.llm import binary
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, None], pa.int64()), pa.array([f"a b {k}" * 50, ""])], names=["doc_id", "text"]) for k in range(7)]
+    (keys, some), = binary.together(iter(batches))
+    assert keys.to_pylist() == [x for k in range(7) for x in (k, None)] and some.to_pylist()[2] == "a b 1" * 50
+    monkeypatch.setattr(binary, "TOGETHER", 600)
+    parts = list(binary.together(iter(batches)))
+    assert 2 < len(parts) < 7 and [x for p in parts for x in p[1].to_pylist()] == some.to_pylist()
+    assert list(binary.together(iter([]))) == []
