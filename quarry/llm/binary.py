@@ -30,6 +30,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from quarry.llm.bytewords import dictionary_words
 from quarry.llm.common import bounded_batches, keep_heap, texts, written
 
 SHARD_IDS = 2_000_000
-#: Words of one generation that are remembered; parts of words, twice as many; parts that the library sees at once, and as one line.
-CACHE_PARTS, AT_ONCE, LINE = 300_000, 100_000, 16
+#: Parts of words that one generation remembers; parts that the library sees at once, and as one line.
+CACHE_PARTS, AT_ONCE, LINE = 600_000, 100_000, 64
 #: Bytes of texts whose words are looked up together.
 TOGETHER = 16 << 20
 NULL_KEY = -(2**63)
@@ -155,8 +156,45 @@ def packed(part: int, seq: int, keys: list[int], turns: list[int], payloads: lis
     }
 
 
+def strings(some: pa.Array) -> list[str]:
+    return some.to_numpy(zero_copy_only=False).tolist()
+
+
+def byte_lengths(some: pa.Array) -> np.ndarray:
+    return pc.binary_length(some).to_numpy()
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The spans of flat that begin there and are so long, one after another."""
+    stops = np.cumsum(length)
+    return flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin - stops + length, length)]
+
+
+class Remembered(dict):
+    """Places of parts in the order in which they came; ids of all of them, one part after another."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.ids, self.stops = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def places(self, parts: list[str]) -> np.ndarray:
+        """The place of each part, -1 for one that is not here."""
+        return np.fromiter(map(self.get, parts, repeat(-1)), np.int64, len(parts))
+
+    def spans(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these places begin, and their numbers."""
+        return self.stops[places], self.stops[places + 1] - self.stops[places]
+
+    def add(self, parts: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        """Different parts that are not here yet, and their ids."""
+        self.update(zip(parts, range(len(self), len(self) + len(parts))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(length)])
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each part of a word once while it is remembered.
+    """Ids of whole texts by the tokenizers library, which sees each part of a word once while it is remembered. All that is
+    done for each word is done by Arrow and numpy for the different words of many texts at once.
 
     White space only separates, so the ids of a text are those of its words in order. A word of plain
     letters followed by plain punctuation is two parts, as in the library's own pattern; any other
@@ -164,9 +202,8 @@ class WordEncoder:
     library go to it whole.
     """
 
-    LETTERS, SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
-    PLAIN = re.compile(rf"{LETTERS}+").fullmatch
-    PARTS = re.compile(rf"{LETTERS}+(?={SIGNS}*\Z)|{SIGNS}+(?=\Z)|.+", re.DOTALL)
+    LETTERS = "".join(c for c in map(chr, range(256)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
+    SIGNS = "".join(c for c in map(chr, range(128)) if re.match(r"[!-&(-/:-@\[-`{-~]", c))
 
     def __init__(self, path: str):
         import os
@@ -181,63 +218,75 @@ class WordEncoder:
         vocab = self.lib.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[k for w, k in vocab.items() if suffix and w.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.kind = f"<u{self.width}"
+        self.known, self.older = Remembered(self.kind), Remembered(self.kind)
 
     def ids(self, text: str) -> bytes:
         return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encoded_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Parts with their ids. Those of letters alone go to the library LINE at a time, with spaces between, where its last
-        tokens of words show which ids are whose."""
-        lines, rest = ([p for p in parts if self.PLAIN(p)], [p for p in parts if not self.PLAIN(p)]) if self.last.any() else ([], parts)
+    def library(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of these texts, one text after another, and their numbers."""
+        each = [e.ids for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]
+        length = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), self.kind, int(length.sum())), length
+
+    def encoded_parts(self, lines: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these parts, one part after another, and their numbers. The first, of letters alone, go to the library LINE
+        at a time, with spaces between, where its last tokens of words show which ids are whose."""
         joined = [" ".join(lines[k : k + LINE]) for k in range(0, len(lines), LINE)]
-        each = [e.ids for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.fromiter((x for own in each for x in own), f"<u{self.width}", sum(map(len, each)))
-        stops = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
-        if len(stops) == len(lines):
-            data = ids.tobytes()
-            yield from zip(lines, (data[a:z] for a, z in zip([0, *stops], stops)))
-        else:
-            rest = parts
-        for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
-            yield p, array(self.code, e.ids).tobytes()
-
-    def learn(self, words: list[str]) -> list[bytes]:
-        """The ids of these words. New ones are remembered, in two generations: where there would be too many, those go that
-        the younger one has not met."""
-        found = list(map(self.known.get, words))
-        new = [w for w, f in zip(words, found) if f is None]
-        if not new:
-            return found
-        if len(self.known) + len(new) > CACHE_PARTS:
-            self.older, self.known = self.known, {}
-        if len(self.parts) > 2 * CACHE_PARTS:
-            self.parts.clear()
-        older = self.older
-        fresh = {w: older[w] for w in new if w in older}
-        unmet = [w for w in new if w not in fresh] if fresh else new
-        cut = list(map(self.PARTS.findall, unmet))
-        unseen = list({p for parts in cut for p in parts}.difference(self.parts))
-        for i in range(0, len(unseen), AT_ONCE):
-            self.parts.update(self.encoded_parts(unseen[i : i + AT_ONCE]))
-        part = self.parts.__getitem__
-        fresh.update((w, part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))) for w, parts in zip(unmet, cut))
-        self.known.update(fresh)
-        return [fresh[w] if f is None else f for w, f in zip(words, found)]
+        ids, _ = self.library(joined)
+        length = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+        if len(length) != len(lines) or length.sum() != len(ids):
+            ids, length = self.library(lines)
+        more, its = self.library(rest)
+        return np.concatenate([ids, more]), np.concatenate([length, its])
+
+    def learn(self, parts: pa.Array) -> np.ndarray:
+        """Places of these different parts among the remembered ones. New ones are remembered, in two generations: where there
+        would be too many, those go that the younger one has not met."""
+        words = strings(parts)
+        places = self.known.places(words)
+        new = np.flatnonzero(places < 0)
+        if not len(new):
+            return places
+        if self.known and len(self.known) + len(new) > CACHE_PARTS:
+            self.older, self.known = self.known, Remembered(self.kind)
+            new = np.arange(len(words))
+        before = self.older.places([words[i] for i in new.tolist()])
+        met, unmet = new[before >= 0], new[before < 0]
+        begin, length = self.older.spans(before[before >= 0])
+        self.known.add([words[i] for i in met.tolist()], gathered(self.older.ids, begin, length), length)
+        left = parts.take(pa.array(unmet))
+        plain = (byte_lengths(pc.utf8_ltrim(left, self.LETTERS)) == 0) & (byte_lengths(left) > 0) & self.last.any()
+        for k in range(0, len(unmet), AT_ONCE):
+            now, line = unmet[k : k + AT_ONCE], plain[k : k + AT_ONCE]
+            some = [[words[i] for i in x.tolist()] for x in (now[line], now[~line])]
+            self.known.add([*some[0], *some[1]], *self.encoded_parts(*some))
+        places[new] = self.known.places([words[i] for i in new.tolist()])
+        return places
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words, one word after another, and their numbers."""
+        signs = pc.utf8_ltrim(words, self.LETTERS)
+        whole = pa.array(byte_lengths(pc.ascii_ltrim(signs, self.SIGNS)) > 0)
+        two = pc.and_(pc.invert(whole), pa.array(byte_lengths(signs) > 0))
+        first = pc.if_else(whole, words, pc.ascii_rtrim(words, self.SIGNS))
+        parts = pc.dictionary_encode(pa.concat_arrays([first, signs.filter(two)]))
+        places = self.learn(parts.dictionary)  # may begin a new generation
+        begin, length = self.known.spans(places[parts.indices.to_numpy()])
+        spans = np.zeros((2, len(words), 2), np.int64)
+        spans[:, :, 0] = begin[: len(words)], length[: len(words)]
+        spans[:, two.to_numpy(zero_copy_only=False), 1] = begin[len(words) :], length[len(words) :]
+        return gathered(self.known.ids, spans[0].ravel(), spans[1].ravel()), spans[1].sum(1)
 
     def encode(self, texts_: pa.Array, end: bytes) -> list[bytes]:
         """Payloads of the texts, each with the end."""
         out: list[bytes] = []
         for sizes, local, words in dictionary_words(texts_, TOGETHER):
-            payloads = self.learn(words)
-            length = np.fromiter(map(len, payloads), np.int64, len(payloads)) // self.width
-            flat = np.frombuffer(b"".join(payloads), f"<u{self.width}")
-            begin = np.cumsum(length) - length
+            flat, length = self.word_ids(words)
             of_each = length[local]
+            ids = gathered(flat, (np.cumsum(length) - length)[local], of_each)
             stops = np.concatenate([[0], np.cumsum(of_each)])
-            ids = flat[np.arange(stops[-1]) + np.repeat(begin[local] - stops[:-1], of_each)]
             edge = stops[np.concatenate([[0], np.cumsum(sizes)])].tolist()
             out += [ids[a:z].tobytes() + end for a, z in zip(edge, edge[1:])]
         # all hold a sign that few texts have, or none is known: then each is sought

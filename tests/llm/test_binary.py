@@ -51,6 +51,35 @@ def test_words_of_the_older_generation(monkeypatch):
     assert own.older
 
 
+def test_no_call_for_each_word():
+    """Each new word took ten calls of Python functions and more, and each of its forms with signs was remembered by itself."""
+    import cProfile
+    import pstats
+
+    own = WordEncoder(PATH)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mé", "ni") for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"]
+    some = [" ".join(w + sign for w in words) for sign in ("", ",", "...", "!?")]
+    with cProfile.Profile() as calls:
+        got = own.encode(pa.array(some), b"\2\0")
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [ids_of(t) for t in some]
+    assert set(own.known) == {*words, ",", "...", "!?"}
+    assert pstats.Stats(calls).total_calls < len(words)
+
+
+def test_generation_that_ends_between_two_lookups(monkeypatch):
+    """Places belong to the generation that the lookup leaves, not to the one before."""
+    import quarry.llm.binary as m
+
+    monkeypatch.setattr(m, "CACHE_PARTS", 30)
+    own = WordEncoder(PATH)
+    for k in range(0, 60, 5):
+        text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}zq{',' * (i % 3)} it's{i}" for i in range(k, k + 12))
+        before = own.known
+        assert np.frombuffer(own.encode(pa.array([text]), b"\2\0")[0], "<u2").tolist() == ids_of(text)
+        assert before is own.known or own.older is before
+    assert own.older
+
+
 def test_perfect_hash():
     r = np.random.default_rng(3)
     for n in (0, 1, 2, 1000, 20000):
