@@ -43,7 +43,7 @@ from quarry.llm.common import bounded_batches, keep_heap, texts, written
 
 SHARD_IDS = 2_000_000
 #: Parts of words that one generation remembers; parts that the library sees at once, and as one line.
-CACHE_PARTS, AT_ONCE, LINE = 600_000, 100_000, 64
+CACHE_PARTS, AT_ONCE, LINE = 600_000, 20_000, 64
 #: Bytes of texts whose words are looked up together.
 TOGETHER = 16 << 20
 NULL_KEY = -(2**63)
@@ -166,8 +166,13 @@ def byte_lengths(some: pa.Array) -> np.ndarray:
 
 def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The spans of flat that begin there and are so long, one after another."""
-    stops = np.cumsum(length)
-    return flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin - stops + length, length)]
+    begin, length = begin[length > 0], length[length > 0]
+    if not len(length):
+        return flat[:0]
+    at = np.ones(length.sum(), np.int64)  # steps, summed in place: one array of this size, not three
+    at[0] = begin[0]
+    at[np.cumsum(length[:-1])] = begin[1:] - begin[:-1] - length[:-1] + 1
+    return flat[np.cumsum(at, out=at)]
 
 
 class Remembered(dict):
